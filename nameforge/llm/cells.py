@@ -1,0 +1,116 @@
+"""Bounded cells for joins of records with equal block keys.
+
+A block (for instance all records of one function name) may hold any share of the
+rows. Blocks beyond ``cap`` rows are cut into hash chunks; each pair of chunks is
+a *cell*. Every pair of rows of a block meets in exactly one cell and no cell
+holds more than about two chunks, so one task never takes in a whole hot block.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Largest number of hot blocks whose chunk counts are broadcast; beyond it they are joined by shuffle.
+HOT_BROADCAST_ROWS = 20_000
+
+
+def _hot_lookup(df: DataFrame, hot: DataFrame, on: str, columns: list[str]) -> DataFrame:
+    """Left join of the chunk counts of hot blocks, broadcast only when their number is within bounds."""
+    hot = hot.cache()
+    few = hot.limit(HOT_BROADCAST_ROWS + 1).count() <= HOT_BROADCAST_ROWS
+    out = df.join(F.broadcast(hot) if few else hot, on, "left")
+    return out.fillna(1, columns)
+
+
+def self_cells(df: DataFrame, keys: DataFrame, block: str, id_col: str, cap: int) -> DataFrame:
+    """df with cell_i, cell_j, side: the cells of a self-join within ``block``.
+
+    keys: one row per row of df with at least ``block`` (a narrower projection, or
+    an upper bound of df). A cell with i = j pairs its rows among themselves (all
+    have side 0); one with i < j pairs side 1 with side 2.
+    """
+    hot = keys.groupBy(block).count().where(F.col("count") > cap).select(block, F.ceil(F.col("count") / cap).cast("int").alias("_chunks"))
+    out = _hot_lookup(df, hot, block, ["_chunks"])
+    chunk = F.pmod(F.xxhash64(F.lit(29), F.col(id_col)), F.col("_chunks")).cast("int")
+    out = out.withColumn("_c", chunk).withColumn("_x", F.explode(F.expr("sequence(0, _chunks - 1)")))
+    return out.select(
+        *df.columns,
+        F.least("_c", "_x").alias("cell_i"),
+        F.greatest("_c", "_x").alias("cell_j"),
+        F.when(F.col("_c") == F.col("_x"), 0).when(F.col("_c") < F.col("_x"), 1).otherwise(2).alias("side"),
+    )
+
+
+def cross_cells(df: DataFrame, keys: DataFrame, block: str, side: str, id_col: str, cap: int) -> DataFrame:
+    """df with cell_i, cell_j: the cells of a join of side 1 with side 2 within ``block``."""
+    hot = (
+        keys.groupBy(block)
+        .agg(F.count_if(F.col(side) == 1).alias("n0"), F.count_if(F.col(side) == 2).alias("n1"))
+        .where((F.col("n0") > cap) | (F.col("n1") > cap))
+        .select(block, F.greatest(F.lit(1), F.ceil(F.col("n0") / cap)).cast("int").alias("_k0"), F.greatest(F.lit(1), F.ceil(F.col("n1") / cap)).cast("int").alias("_k1"))
+    )
+    out = _hot_lookup(df, hot, block, ["_k0", "_k1"])
+    zero = F.col(side) == 1
+    own = F.pmod(F.xxhash64(F.lit(29), F.col(id_col)), F.when(zero, F.col("_k0")).otherwise(F.col("_k1"))).cast("int")
+    out = out.withColumn("_c", own).withColumn("_x", F.explode(F.when(zero, F.expr("sequence(0, _k1 - 1)")).otherwise(F.expr("sequence(0, _k0 - 1)"))))
+    return out.select(*df.columns, F.when(zero, F.col("_c")).otherwise(F.col("_x")).alias("cell_i"), F.when(zero, F.col("_x")).otherwise(F.col("_c")).alias("cell_j"))
+
+
+def map_cells(df: DataFrame, block: str, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, carry: list[str], rows: int = 4096) -> DataFrame:
+    """Runs ``work(table, cell codes)`` over whole cells, many small cells at a time.
+
+    Rows are hash-partitioned and sorted by cell; each call sees all rows of the
+    cells in it and at least ``rows`` rows unless the partition ends.
+    """
+    key = [block, "cell_i", "cell_j"]
+    ready = df.select(*key, *carry).repartition(*key).sortWithinPartitions(*key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+
+        def codes(t: pa.Table) -> np.ndarray:
+            new = np.ones(t.num_rows, dtype=bool)
+            new[1:] = False
+            for x in (t.column(block).combine_chunks().dictionary_encode().indices.to_numpy(), t.column("cell_i").to_numpy(), t.column("cell_j").to_numpy()):
+                new[1:] |= x[1:] != x[:-1]
+            return np.cumsum(new)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            count += batch.num_rows
+            if count < rows:
+                continue
+            t = pa.Table.from_batches(held)
+            c = codes(t)
+            cut = int(np.searchsorted(c, c[-1]))  # the last cell may go on in the next batch
+            if cut:
+                yield from work(t.slice(0, cut), c[:cut])
+            rest = t.slice(cut).combine_chunks()
+            held, count = rest.to_batches(), rest.num_rows
+        if held:
+            t = pa.Table.from_batches(held)
+            yield from work(t, codes(t))
+
+    return ready.mapInArrow(run, schema)
+
+
+def name_of(names: Column) -> Column:
+    """The name in a funname_aligned map: trimmed, lower case; NULL where there is none.
+
+    A null or empty map, an empty or blank value and ``unknown`` are no name.
+    """
+    name = F.lower(F.btrim(F.element_at(F.map_values(names), F.lit(1)), F.lit(" \t\n\r\x0b\x0c")))
+    return F.when(F.size(names) > 0, F.when((name != "") & (name != "unknown"), name))
+
+
+def squeeze(text: Column, also: str = "") -> Column:
+    """Without ASCII white space (and the characters in ``also``), in lower case."""
+    return F.lower(F.translate(text, " \t\n\r\x0b\x0c" + also, ""))

@@ -1,0 +1,166 @@
+"""Parity sketches with a provable error budget, and their binary-trie self-join.
+
+The sketch of a text has one bit per hash bucket of (character, occurrence number);
+each element flips its bit. Inserting or deleting one character changes exactly one
+element, so d insertions and deletions flip at most d bits: two texts of likeness
+1 - d / (la + lb) >= t have sketches that differ in at most (1 - t)(la + lb) bits.
+Pruning at that budget therefore never loses a pair.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+
+BUCKETS = 96
+WORDS = 16  # of 64 bits
+LEVELS = 256
+
+
+def _table() -> np.ndarray:
+    rng = np.random.Generator(np.random.PCG64(20240229))
+    at = rng.integers(0, WORDS * 64, size=(BUCKETS, LEVELS))
+    one = np.zeros((BUCKETS, LEVELS + 1, WORDS), dtype=np.uint64)
+    b, k = np.indices(at.shape)
+    one[b, k + 1, at >> 6] = np.left_shift(np.uint64(1), (at & 63).astype(np.uint64))
+    return np.bitwise_xor.accumulate(one, axis=1)
+
+
+_TABLE: list[np.ndarray] = []
+
+
+def histograms(texts: list[str]) -> np.ndarray:
+    """Characters per bucket of each text; printable ASCII has one bucket a character."""
+    if not texts:
+        return np.zeros((0, BUCKETS), dtype=np.int32)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    bucket = np.where((points >= 32) & (points < 128), points - 32, points % BUCKETS).astype(np.int64)
+    return np.bincount(bucket + np.repeat(np.arange(len(texts)) * BUCKETS, lens), minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS).astype(np.int32)
+
+
+def sketches(hist: np.ndarray) -> np.ndarray:
+    """Parity sketches of histograms; occurrences beyond LEVELS of one character are left out, which keeps the bound."""
+    if not _TABLE:
+        _TABLE.append(_table())
+    out = np.zeros((len(hist), WORDS), dtype=np.uint64)
+    level = np.minimum(hist, LEVELS)
+    for b in range(BUCKETS):
+        out ^= _TABLE[0][b][level[:, b]]
+    return out
+
+
+def trie_pairs(words: np.ndarray, cell: np.ndarray, side: np.ndarray, length: np.ndarray, per: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of equal cell whose sketches differ in at most (la + lb) / per bits.
+
+    The rows of a cell form a trie over the bits of their sketches, 64 bits to an
+    edge. Pairs of nodes go down together, the differing bits add up, and a pair of
+    nodes is dropped as soon as they exceed the budget of the longest texts below
+    it. A cell of side 0 is joined with itself (each pair once), one with sides 1 and
+    2 joins the one with the other. At most about ``most`` node pairs are open at once.
+    """
+    n, depth = words.shape
+    if n < 2:
+        return
+    order = np.lexsort((*(words[:, w] for w in range(depth - 1, -1, -1)), side, cell))
+    ws, cs, ss, ls = words[order], cell[order], side[order], length[order].astype(np.int64)
+    new = np.ones(n, dtype=bool)
+    new[1:] = (cs[1:] != cs[:-1]) | (ss[1:] != ss[:-1])
+    starts = [np.flatnonzero(new)]
+    for w in range(depth):
+        new[1:] |= ws[1:, w] != ws[:-1, w]
+        starts.append(np.flatnonzero(new))
+    starts.append(np.arange(n))  # the rows under a leaf
+    longest = [np.maximum.reduceat(ls, s) for s in starts]
+    first = [np.append(np.searchsorted(starts[k + 1], starts[k]), len(starts[k + 1])) for k in range(depth + 1)]
+
+    root_cell, root_side = cs[starts[0]], ss[starts[0]]
+    two = np.flatnonzero((root_cell[1:] == root_cell[:-1]) & (root_side[1:] != root_side[:-1]))
+    alone = np.setdiff1d(np.arange(len(root_cell)), np.concatenate([two, two + 1]))
+    alone = alone[root_side[alone] == 0]
+    stack = [(0, alone, alone, np.zeros(len(alone), np.int64)), (0, two, two + 1, np.zeros(len(two), np.int64))]
+    while stack:
+        level, u, v, acc = stack.pop()
+        if not len(u):
+            continue
+        if level == depth + 1:
+            yield order[u], order[v]
+            continue
+        nu, nv = first[level][u + 1] - first[level][u], first[level][v + 1] - first[level][v]
+        total = nu * nv
+        if total.sum() > most:
+            if len(u) > 1:
+                half = int(np.searchsorted(np.cumsum(total), total.sum() / 2)) or 1
+                half = min(half, len(u) - 1)
+                stack += [(level, u[half:], v[half:], acc[half:]), (level, u[:half], v[:half], acc[:half])]
+                continue
+        u0, v0 = first[level][u], first[level][v]
+        for a, b, at in _children(u0, nu, v0, nv, total, most):
+            keep = (u[at] != v[at]) | (a < b if level == depth else a <= b)
+            a, b, at = a[keep], b[keep], at[keep]
+            add = acc[at]
+            if level < depth:
+                add = add + np.bitwise_count(ws[starts[level + 1][a], level] ^ ws[starts[level + 1][b], level])
+            keep = add * per <= longest[level + 1][a] + longest[level + 1][b]
+            stack.append((level + 1, a[keep], b[keep], add[keep]))
+
+
+def _children(u0, nu, v0, nv, total, most):
+    """All (child of u, child of v, number of the pair), in slices of about ``most``."""
+    if len(u0) == 1 and total[0] > most:
+        step = max(1, most // int(nv[0]))
+        for lo in range(0, int(nu[0]), step):
+            k = min(step, int(nu[0]) - lo)
+            a = np.repeat(np.arange(u0[0] + lo, u0[0] + lo + k), nv[0])
+            b = np.tile(np.arange(v0[0], v0[0] + nv[0]), k)
+            yield a, b, np.zeros(len(a), np.int64)
+        return
+    at = np.repeat(np.arange(len(u0)), total)
+    inside = np.arange(len(at)) - np.repeat(np.cumsum(total) - total, total)
+    yield u0[at] + inside // nv[at], v0[at] + inside % nv[at], at
+
+
+def near(hist: np.ndarray, i: np.ndarray, j: np.ndarray, length: np.ndarray, per: int, step: int = 1 << 16) -> np.ndarray:
+    """Which pairs may still differ by at most (la + lb) / per insertions and deletions, by whole histograms."""
+    out = np.zeros(len(i), dtype=bool)
+    for lo in range(0, len(i), step):
+        a, b = i[lo : lo + step], j[lo : lo + step]
+        out[lo : lo + step] = np.abs(hist[a] - hist[b]).sum(axis=1) * per <= length[a] + length[b]
+    return out
+
+
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by bit-parallel rows over whole texts."""
+    if a == b:
+        return len(a)
+    most = min(len(a), len(b))
+    head = 0
+    while head < most and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < most - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b:
+        return head + tail
+    if len(a) > len(b):
+        a, b = b, a
+    match: dict[str, int] = {}
+    bit = 1
+    for ch in a:
+        match[ch] = match.get(ch, 0) | bit
+        bit <<= 1
+    mask = bit - 1
+    v = mask
+    get = match.get
+    for ch in b:
+        u = v & get(ch, 0)
+        v = ((v + u) | (v - u)) & mask
+    return head + tail + len(a) - v.bit_count()
+
+
+def alike(a: str, b: str, per: int) -> bool:
+    """Likeness of at least 1 - 1 / per."""
+    n = len(a) + len(b)
+    return (n - 2 * common(a, b)) * per <= n
