@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nameforge.llm import leakage, neardup
+from nameforge.llm import leakage, neardup, qa
 from nameforge.session import prepare
 
 
@@ -24,6 +24,18 @@ def p1_links(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumnRenamed("id", "func_id")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return qa.flag(table(spark, folder, "predictions"))
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs and share of each defect per model_run; good pairs have the defect ``none``."""
+    runs = table(spark, folder, "predictions")
+    flagged = runs.select("pred_id", "model_run").join(qa.flag(runs), "pred_id", "left")
+    counted = flagged.groupBy("model_run", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("pairs"))
+    return counted
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     found = leakage.overlaps(leakage.features(table(spark, folder, "test")))
     return found.select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b"))
@@ -38,7 +50,7 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_links": p1_links, "p4_found": p4_found, "p4_report": p4_report}
+    return {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_report": p4_report}
 
 
 def oracle_sql() -> dict[str, str]:
