@@ -102,15 +102,6 @@ def map_cells(df: DataFrame, block: str, work: Callable[[pa.Table, np.ndarray],
     return ready.mapInArrow(run, schema)
 
 
-def name_of(names: Column) -> Column:
-    """The name in a funname_aligned map: trimmed, lower case; NULL where there is none.
-
-    A null or empty map, an empty or blank value and ``unknown`` are no name.
-    """
-    name = F.lower(F.btrim(F.element_at(F.map_values(names), F.lit(1)), F.lit(" \t\n\r\x0b\x0c")))
-    return F.when(F.size(names) > 0, F.when((name != "") & (name != "unknown"), name))
-
-
 def squeeze(text: Column, also: str = "") -> Column:
     """Without ASCII white space (and the characters in ``also``), in lower case."""
     return F.lower(F.translate(text, " \t\n\r\x0b\x0c" + also, ""))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nameforge.functions.names import name_of
 from nameforge.llm import cells, hamming
 
 CAP = 2000
@@ -31,7 +32,7 @@ def features(df: DataFrame, id_col: str = "test_id", name: str = "funname_aligne
     bare = F.lower(F.regexp_replace(F.regexp_replace(F.col(code), r"(?s)/\*.*?\*/", ""), r"//[^\r\n]*", ""))
     return (
         df.where(F.col(split).isin(0, 1) & F.col(code).isNotNull())
-        .select(F.col(id_col).alias("id"), cells.name_of(F.col(name)).alias("block"), F.when(F.col(split) == 0, 1).otherwise(2).alias("side"), bare.alias("words"))
+        .select(F.col(id_col).alias("id"), name_of(F.col(name)).alias("block"), F.when(F.col(split) == 0, 1).otherwise(2).alias("side"), bare.alias("words"))
         .where(F.col("block").isNotNull())
     )
 

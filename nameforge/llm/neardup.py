@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nameforge.functions.names import name_of
 from nameforge.llm import cells, hamming
 
 #: Rows of a block per hash chunk; a cell holds about twice as many at most.
@@ -24,7 +25,7 @@ def features(df: DataFrame, id_col: str = "func_id", name: str = "funname_aligne
     white space in lower case.
     """
     trimmed = F.lower(F.btrim(F.col(index)["return_type"], F.lit(" \t\n\r\x0b\x0c")))
-    named = cells.name_of(F.col(name))
+    named = name_of(F.col(name))
     return (
         df.select(
             F.col(id_col).alias("id"),
