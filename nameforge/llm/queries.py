@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nameforge.llm import leakage, neardup, qa
-from nameforge.session import prepare
+from nameforge.llm import layout, leakage, neardup, qa, splits
+from nameforge.session import checkpoint, prepare
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,9 +49,83 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.report(records, leakage.overlaps(records), sources)
 
 
+def _tied(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "domain_records")
+    return splits.components(records, "rec_id", [splits.tie_key(F.col("proj")), splits.tie_key(F.col("bin"), path=True)])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _tied(spark, folder).where("id != first_id").select("first_id", F.col("id").alias("rec_id"))
+
+
+def _split(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tuple[str, float]]]:
+    targets = [(r["split_name"], r["target_share"]) for r in table(spark, folder, "split_targets").orderBy("split_name").collect()]
+    tied = checkpoint(_tied(spark, folder))
+    groups = tied.groupBy("first_id").agg(F.count("*").alias("size"))
+    return tied.join(splits.assign(groups, targets), "first_id"), targets
+
+
+def p5_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The split of every record."""
+    return _split(spark, folder)[0].select(F.col("id").alias("rec_id"), F.col("split").alias("split_name"))
+
+
+def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Records, components and share of each split beside its target."""
+    placed, _ = _split(spark, folder)
+    counted = placed.groupBy(F.col("split").alias("split_name")).agg(F.count("*").alias("records"), F.count_if(F.col("id") == F.col("first_id")).alias("components"))
+    total = F.sum("records").over(Window.partitionBy())
+    return table(spark, folder, "split_targets").join(counted, "split_name", "left").select("split_name", "target_share", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("components", F.lit(0)).alias("components"), (F.col("records") / total).alias("actual_share"))
+
+
+def _layouts(spark: SparkSession, folder: str) -> DataFrame:
+    return layout.records(table(spark, folder, "functions"), "functions", "func_id", "code", "output").unionByName(
+        layout.records(table(spark, folder, "functions_norm"), "functions_norm", "func_id", "norm_code", "output")
+    )
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return layout.copies(_layouts(spark, folder))
+
+
+def p6_collapsed(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per distinct record of either table with its number of copies."""
+    return layout.collapse(_layouts(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_report": p4_report}
+    return {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_split": p5_split, "p5_shares": p5_shares, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
+
+
+_WS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+
+_LAYOUT_SQL = f"""
+marked AS (
+  SELECT table_name, func_id, lower(regexp_replace(translate(code, {_WS}, ''), '[;,(){{}}]', '', 'g')) AS text,
+         array_to_string(list_sort(list_distinct(list_filter(string_split(lower(translate(coalesce(output, ''), {_WS}, '')), ','), lambda e: e <> ''))), ',') AS pairs
+  FROM (SELECT 'functions' AS table_name, func_id, code, output FROM functions
+        UNION ALL SELECT 'functions_norm', func_id, norm_code, output FROM functions_norm)
+  WHERE trim(code, {_WS}) <> ''),
+grouped AS (SELECT *, min(func_id) OVER (PARTITION BY table_name, text, pairs) AS first_id, count(*) OVER (PARTITION BY table_name, text, pairs) AS copies FROM marked)
+"""
+
+SQL = {
+    "p5_found": r"""
+WITH RECURSIVE keyed AS (
+  SELECT rec_id, nullif(translate(lower(trim(proj, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), '_ ', '--'), '') AS p,
+         nullif(translate(lower(trim(regexp_extract(bin, '([^/\\]*)$', 1), chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), '_ ', '--'), '') AS b
+  FROM domain_records),
+links AS (
+  SELECT DISTINCT x.rec_id AS a, y.rec_id AS b FROM keyed x JOIN (SELECT p, min(rec_id) AS rec_id FROM keyed GROUP BY p) y ON x.p = y.p
+  UNION SELECT DISTINCT x.rec_id, y.rec_id FROM keyed x JOIN (SELECT b, min(rec_id) AS rec_id FROM keyed GROUP BY b) y ON x.b = y.b),
+sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS rec_id, a AS spot FROM sym UNION SELECT r.rec_id, s.b FROM reach r JOIN sym s ON r.spot = s.a)
+SELECT first_id, rec_id FROM (SELECT rec_id, min(spot) AS first_id FROM reach GROUP BY rec_id) WHERE first_id <> rec_id
+""",
+    "p6_found": f"WITH {_LAYOUT_SQL} SELECT table_name, first_id, func_id AS copy_id FROM grouped WHERE func_id <> first_id",
+    "p6_collapsed": f"WITH {_LAYOUT_SQL} SELECT table_name, first_id, copies FROM grouped WHERE func_id = first_id",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
