@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nameforge.llm import layout, leakage, neardup, qa, splits
+from nameforge.llm import layout, leakage, lookalike, neardup, qa, splits
 from nameforge.session import checkpoint, prepare
 
 
@@ -93,8 +93,18 @@ def p6_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return layout.collapse(_layouts(spark, folder))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = lookalike.twins(lookalike.forms(table(spark, folder, "documents"), "doc_id", "text"))
+    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p9_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of every document."""
+    return lookalike.consistent(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_split": p5_split, "p5_shares": p5_shares, "p6_found": p6_found, "p6_collapsed": p6_collapsed}
+    return {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_split": p5_split, "p5_shares": p5_shares, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p9_found": p9_found, "p9_text": p9_text}
 
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
