@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nameforge.llm import layout, leakage, lookalike, neardup, qa, splits
+from nameforge.llm import layout, leakage, lookalike, mixing, neardup, packing, qa, splits, tokens
 from nameforge.session import checkpoint, prepare
 
 
@@ -93,6 +93,32 @@ def p6_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return layout.collapse(_layouts(spark, folder))
 
 
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every text, or piece of a text over 2,048 tokens."""
+    sized = tokens.count(table(spark, folder, "documents"), "text", ["doc_id"])
+    return packing.pack(sized, "doc_id", "n_tokens").withColumnRenamed("id", "doc_id")
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill(p7_packed(spark, folder))
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, folder, "documents").withColumn("digest", F.md5("text"))
+    targets = table(spark, folder, "mix_targets")
+    listed = [(r["source"], r["target_share"], r["max_repeat"]) for r in targets.orderBy("source").collect()]
+    return mixing.mix(tokens.count(documents, "text", ["doc_id", "source", "digest"]), listed), targets
+
+
+def p8_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """The collection: one row per use of a text."""
+    return _mixed(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(*_mixed(spark, folder))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = lookalike.twins(lookalike.forms(table(spark, folder, "documents"), "doc_id", "text"))
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
@@ -104,7 +130,7 @@ def p9_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_split": p5_split, "p5_shares": p5_shares, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p9_found": p9_found, "p9_text": p9_text}
+    return {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_split": p5_split, "p5_shares": p5_shares, "p6_found": p6_found, "p6_collapsed": p6_collapsed, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p9_found": p9_found, "p9_text": p9_text}
 
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
