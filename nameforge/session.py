@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -55,3 +56,26 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=eager)
+
+
+class Scratch:
+    """Tables written to the shared folder, for loops: unlike a checkpoint, a table read back
+    carries no constraints of the plan that made it, so plans stay small round after round."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.root = f"{checkpoint_dir(spark).rstrip('/')}/nameforge-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.root}/{self.made:05d}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._nameforge_path = path  # for drop()
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Removes a table that nothing reads any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._nameforge_path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
