@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nameforge.functions.names import WHITE
-from nameforge.session import checkpoint
+from nameforge.session import Scratch, checkpoint
 
 #: Components placed one by one, largest first; the rest, each no larger than these, are placed by cumulative weight.
 LARGEST = 200
@@ -29,10 +29,15 @@ def contract(edges: DataFrame, rounds: int = 200) -> DataFrame:
     Each round every vertex tosses a coin by hash; a vertex with tails collapses into
     its smallest neighbour with heads, edges are renamed and made distinct, until
     none is left. The mappings of the rounds are then unwound backwards. All state
-    is in checkpointed tables; nothing is held by the driver.
+    is in tables in the shared folder; nothing is held by the driver.
     """
-    edges = checkpoint(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    vertices = checkpoint(edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).distinct())
+    scratch = Scratch(edges.sparkSession)
+
+    def distinct(e: DataFrame) -> DataFrame:
+        return scratch.write(e.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    edges = distinct(edges)
+    vertices = scratch.write(edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).distinct())
     done: list[DataFrame] = []
     while not edges.isEmpty():
         if len(done) == rounds:
@@ -42,18 +47,20 @@ def contract(edges: DataFrame, rounds: int = 200) -> DataFrame:
             return F.pmod(F.xxhash64(F.lit(at), F.col(c)), F.lit(2)) == 1
 
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        into = checkpoint(both.where(~heads("a") & heads("b")).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")))
+        into = scratch.write(both.where(~heads("a") & heads("b")).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")))
         done.append(into)
+        renamed = edges
         for c in ("a", "b"):
-            edges = edges.join(into.withColumnRenamed("v", c), c, "left").withColumn(c, F.coalesce("p", c)).drop("p")
-        edges = checkpoint(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            renamed = renamed.join(into.withColumnRenamed("v", c), c, "left").withColumn(c, F.coalesce("p", c)).drop("p")
+        before, edges = edges, distinct(renamed)
+        scratch.drop(before)
     roots: DataFrame | None = None
     for into in reversed(done):
         if roots is None:
             roots = into.select("v", F.col("p").alias("root"))
             continue
         later = roots.select(F.col("v").alias("p"), "root")
-        roots = checkpoint(into.join(later, "p", "left").select("v", F.coalesce("root", "p").alias("root")).unionByName(roots))
+        roots = scratch.write(into.join(later, "p", "left").select("v", F.coalesce("root", "p").alias("root")).unionByName(roots))
     if roots is None:
         return vertices.select("v", F.col("v").alias("root"))
     return vertices.join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root"))
