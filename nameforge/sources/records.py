@@ -62,7 +62,7 @@ def read_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(out)), pa.array(range(len(out)), pa.int64()), pa.array(out)], names=["_file", "ord", "_r"])
 
-    texts = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("_file"), "value")
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
     rows = texts.mapInArrow(run, "_file string, ord long, _r string")
     return rows.select("_file", "ord", F.from_json("_r", schema).alias("_r")).select("_file", "ord", "_r.*")
 
