@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,11 +48,22 @@ def _back(table: dict[str, str]) -> dict[int, str]:
 _TO = {"c": _back(CYRILLIC) | {ord(g): k for g in GREEK for k, v in CYRILLIC.items() if v == GREEK[g]}, "g": _back(GREEK) | {ord(c): k for c in CYRILLIC for k, v in GREEK.items() if v == CYRILLIC[c]}, "l": _TO_LATIN}
 
 
+_ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_PLAIN)) + "]")
+
+
 def plain(text: str) -> str:
     """Characters of one width, plain blanks, nothing invisible, accents composed."""
-    if text.isascii():
-        return text.replace("\r\n", "\n") if "\r" in text else text
-    return unicodedata.normalize("NFC", text.translate(_PLAIN)).replace("\r\n", "\n")
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+            odd = any(c in text for c in "\xa0\xad\xb5\x85")
+        except UnicodeEncodeError:
+            odd = True
+        if odd:
+            text = _ODD.sub(lambda m: _PLAIN[ord(m[0])] or "", text)
+            if not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+    return text.replace("\r\n", "\n") if "\r" in text else text
 
 
 def _script(c: str) -> str:
@@ -61,14 +71,22 @@ def _script(c: str) -> str:
     return "g" if 0x370 <= o < 0x400 else "c" if 0x400 <= o < 0x530 else "l" if c.isalpha() and o < 0x250 else ""
 
 
-def _anchors(token: str) -> Counter:
-    """Letters per script that no other script has: no disguise touches them."""
-    out: Counter = Counter()
-    for c in token:
-        s = _script(c)
-        if s and (c not in _LIKE if s == "l" else ord(c) not in _TO_LATIN):
-            out[s] += 1
-    return out
+def _only(letters: range, other) -> re.Pattern:
+    return re.compile("[" + "".join(chr(c) for c in letters if chr(c).isalpha() and not other(chr(c))) + "]")
+
+
+#: Letters per script that no other script has: no disguise touches them.
+_ANCHOR = {
+    "l": _only(range(0x41, 0x250), lambda c: c in _LIKE),
+    "c": _only(range(0x400, 0x530), lambda c: ord(c) in _TO_LATIN),
+    "g": _only(range(0x370, 0x400), lambda c: ord(c) in _TO_LATIN),
+}
+#: Tokens of one script.
+_PURE = {"l": re.compile(r"[0-9A-Za-z_À-ɏ̀-ͯ]+"), "c": re.compile(r"[0-9_Ѐ-ԯ̀-ͯ]+")}
+
+
+def _anchors(text: str) -> dict[str, int]:
+    return {s: len(p.findall(text)) for s, p in _ANCHOR.items()}
 
 
 def swaps(text: str) -> dict[str, str]:
@@ -84,13 +102,13 @@ def swaps(text: str) -> dict[str, str]:
     whole: str | None = None
     out = {}
     for token in found:
+        if any(p.fullmatch(token) and _ANCHOR[k].search(token) for k, p in _PURE.items()):
+            continue
         scripts = {_script(c) for c in token} - {""}
         if not scripts:
             continue
-        if scripts == {"l"} and not all(c in _LIKE for c in token if c.isalpha()):
-            continue
         own = _anchors(token)
-        if own:
+        if any(own.values()):
             if len(scripts) < 2:
                 continue
             main = max("lcg", key=lambda s: own[s])
@@ -139,19 +157,27 @@ def survey(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return checkpoint(rows.mapInArrow(run, "id long, raw binary, form binary, text string, swaps map<string,string>"))
 
 
+#: Makes blanks of the ASCII characters that are in no token.
+_CUT = bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+
+
 def vocabulary(df: DataFrame, text: str, flush: int = 200_000) -> DataFrame:
     """(word): the distinct tokens of one script of all texts, made distinct within each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[str] = set()
+        held: set[bytes] = set()
 
         def words() -> pa.RecordBatch:
-            sure = [w for w in held if w.isascii() or len({_script(c) for c in w} - {""}) == 1]
+            sure = [w for w in map(bytes.decode, held) if w.isascii() or len({_script(c) for c in w} - {""}) == 1]
             return pa.RecordBatch.from_arrays([pa.array(sure, pa.string())], names=["word"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                held.update(_TOKEN.findall(t if t.isascii() else plain(t)))
+                p = plain(t)
+                if p.isascii():
+                    held.update(p.encode().translate(_CUT).split())
+                else:
+                    held.update(w.encode() for w in set(_TOKEN.findall(p)))
                 if len(held) >= flush:
                     yield words()
                     held.clear()
