@@ -16,8 +16,8 @@ from nameforge.llm import cells, hamming
 CAP = 2000
 #: Words per shingle.
 WORDS = 5
-#: Least share of an evaluation record's shingles that a training record must hold to be checked exactly.
-#: Likeness 0.9 allows one edit in five characters of a word, far below the usual 0.8 of shingles; see README for measured recall.
+#: Least share of an evaluation record's shingles that a training record must hold to be checked at once.
+#: Edits spread over every word leave fewer; such pairs are found by the sound sketch bound instead.
 LEAST = 0.1
 
 _WORD = re.compile(r"[^\W_]\w*|_\w*")
@@ -91,8 +91,9 @@ def overlaps(records: DataFrame, per: int = 10, least: float = LEAST, n: int = W
     records: as from ``features``. Evaluation shingles are partitioned with the
     training records of their name; names beyond ``cap`` rows of either side are cut
     into chunks that meet pairwise. A training record that holds ``least`` of an
-    evaluation record's shingles is checked exactly. Records without any word have
-    no shingle and no overlap.
+    evaluation record's shingles is checked exactly. Pairs whose edits touch nearly
+    every shingle come from the trie over parity sketches, whose budget loses none,
+    so the result is exact. Records without any character left have no overlap.
     """
     placed = cells.cross_cells(records, records.select("block", "side"), "block", "side", "id", cap)
 
@@ -111,25 +112,46 @@ def overlaps(records: DataFrame, per: int = 10, least: float = LEAST, n: int = W
         length = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         ids = t.column("id").to_numpy()
         known: dict[tuple[int, int], bool] = {}
+
+        def verify(i, j):
+            """The pairs of rows that are alike indeed."""
+            a, b = of[i], of[j]
+            keep = hamming.near(hist, a, b, length, per) & (length[a] > 0) & (length[b] > 0)
+            i, j = i[keep], j[keep]
+            good = np.zeros(len(i), dtype=bool)
+            for k, (x, y) in enumerate(zip(of[i].tolist(), of[j].tolist(), strict=True)):
+                if (x, y) not in known:
+                    known[x, y] = x == y or hamming.alike(texts[x], texts[y], per)
+                good[k] = known[x, y]
+            return i[good], j[good]
+
+        def rows_of(i, j):
+            share = [_share(grams[x], grams[y]) for x, y in zip(of[i].tolist(), of[j].tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(share, pa.float64())], names=["eval_id", "train_id", "containment"])
+
+        hit: set[int] = set()
         bounds = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
         for s, e in zip(bounds, np.append(bounds[1:], len(code)), strict=True):
             rows = np.arange(s, e)
             ask, have = rows[side[s:e] == 1], rows[side[s:e] == 2]
-            for i, j, share in _by_text(grams, of, ask, have, least):
-                a, b = of[i], of[j]
-                keep = hamming.near(hist, a, b, length, per)
-                i, j, a, b, share = i[keep], j[keep], a[keep], b[keep], share[keep]
-                good = np.zeros(len(i), dtype=bool)
-                for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-                    if (x, y) not in known:
-                        known[x, y] = x == y or hamming.alike(texts[x], texts[y], per)
-                    good[k] = known[x, y]
-                if good.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i[good]]), pa.array(ids[j[good]]), pa.array(share[good])], names=["eval_id", "train_id", "containment"])
+            for i, j, _ in _by_text(grams, of, ask, have, least):
+                hit.update((i * len(code) + j).tolist())
+                i, j = verify(i, j)
+                if len(i):
+                    yield rows_of(i, j)
+        for i, j in hamming.trie_pairs(hamming.sketches(hist)[of], code, side, length[of], per):
+            new = np.fromiter((p not in hit for p in (i * len(code) + j).tolist()), dtype=bool, count=len(i))
+            i, j = verify(i[new], j[new])
+            if len(i):
+                yield rows_of(i, j)
 
     return cells.map_cells(placed, "block", work, "eval_id long, train_id long, containment double", ["side", "id", "words"])
 
 
+def _share(ask: np.ndarray, have: np.ndarray) -> float:
+    return len(np.intersect1d(ask, have, assume_unique=True)) / len(ask) if len(ask) else 0.0
+
+
 _ASCII_SPACE = dict.fromkeys(map(ord, " \t\n\r\x0b\x0c"))
 
 
