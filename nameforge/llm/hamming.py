@@ -57,7 +57,7 @@ def trie_pairs(words: np.ndarray, cell: np.ndarray, side: np.ndarray, length: np
     The rows of a cell form a trie over the bits of their sketches, 64 bits to an
     edge. Pairs of nodes go down together, the differing bits add up, and a pair of
     nodes is dropped as soon as they exceed the budget of the longest texts below
-    it. A cell of side 0 is joined with itself (each pair once), one with sides 1 and
+    it, or their lengths lie too far apart. A cell of side 0 is joined with itself (each pair once), one with sides 1 and
     2 joins the one with the other. At most about ``most`` node pairs are open at once.
     """
     n, depth = words.shape
@@ -73,6 +73,7 @@ def trie_pairs(words: np.ndarray, cell: np.ndarray, side: np.ndarray, length: np
         starts.append(np.flatnonzero(new))
     starts.append(np.arange(n))  # the rows under a leaf
     longest = [np.maximum.reduceat(ls, s) for s in starts]
+    shortest = [np.minimum.reduceat(ls, s) for s in starts]
     first = [np.append(np.searchsorted(starts[k + 1], starts[k]), len(starts[k + 1])) for k in range(depth + 1)]
 
     root_cell, root_side = cs[starts[0]], ss[starts[0]]
@@ -98,6 +99,9 @@ def trie_pairs(words: np.ndarray, cell: np.ndarray, side: np.ndarray, length: np
         u0, v0 = first[level][u], first[level][v]
         for a, b, at in _children(u0, nu, v0, nv, total, most):
             keep = (u[at] != v[at]) | (a < b if level == depth else a <= b)
+            # Lengths alone need so many insertions that no pair below can be alike.
+            lo, hi = shortest[level + 1], longest[level + 1]
+            keep &= ((per - 1) * lo[a] <= (per + 1) * hi[b]) & ((per - 1) * lo[b] <= (per + 1) * hi[a])
             a, b, at = a[keep], b[keep], at[keep]
             add = acc[at]
             if level < depth:

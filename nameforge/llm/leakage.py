@@ -129,18 +129,19 @@ def overlaps(records: DataFrame, per: int = 10, least: float = LEAST, n: int = W
             share = [_share(grams[x], grams[y]) for x, y in zip(of[i].tolist(), of[j].tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(share, pa.float64())], names=["eval_id", "train_id", "containment"])
 
-        hit: set[int] = set()
+        hits: list[np.ndarray] = []
         bounds = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
         for s, e in zip(bounds, np.append(bounds[1:], len(code)), strict=True):
             rows = np.arange(s, e)
             ask, have = rows[side[s:e] == 1], rows[side[s:e] == 2]
             for i, j, _ in _by_text(grams, of, ask, have, least):
-                hit.update((i * len(code) + j).tolist())
+                hits.append(i * len(code) + j)
                 i, j = verify(i, j)
                 if len(i):
                     yield rows_of(i, j)
+        hit = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
         for i, j in hamming.trie_pairs(hamming.sketches(hist)[of], code, side, length[of], per):
-            new = np.fromiter((p not in hit for p in (i * len(code) + j).tolist()), dtype=bool, count=len(i))
+            new = ~np.isin(i * len(code) + j, hit)
             i, j = verify(i[new], j[new])
             if len(i):
                 yield rows_of(i, j)

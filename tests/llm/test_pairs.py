@@ -79,7 +79,7 @@ def test_trie_is_the_nested_loop():
         for i in range(n):
             for j in range(i):
                 if cell[i] == cell[j] and ((side[i] == 0 and side[j] == 0) or {side[i], side[j]} == {1, 2}):
-                    if 10 * int(np.bitwise_count(words[i] ^ words[j]).sum()) <= length[i] + length[j]:
+                    if 10 * int(np.bitwise_count(words[i] ^ words[j]).sum()) <= length[i] + length[j] and 10 * abs(length[i] - length[j]) <= length[i] + length[j]:
                         want[j, i] += 1
         assert got == want and max(want.values()) == 1
 
