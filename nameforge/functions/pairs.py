@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,10 +38,20 @@ def parse(text: Column, trim: bool = True, lower: bool = False, empty_keys: bool
     return last_wins(pairs)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body uses it: inside lambdas nothing else is shared."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def last_wins(pairs: Column) -> Column:
     """Of equal keys the first place and the last value, as in a dict."""
-    keys = F.array_distinct(F.transform(pairs, lambda e: e["k"]))
-    return F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda e: e["k"].eqNullSafe(k)), -1))
+
+    def dict_like(p: Column) -> Column:
+        keys = F.array_distinct(F.transform(p, lambda e: e["k"]))
+        # Mostly no key is repeated, and the entries are the answer.
+        return F.when(F.size(keys) == F.size(p), p).otherwise(F.transform(keys, lambda k: F.element_at(F.filter(p, lambda e: e["k"].eqNullSafe(k)), -1)))
+
+    return let(pairs, dict_like)
 
 
 def from_map(m: Column) -> Column:

@@ -119,10 +119,16 @@ def hybrid_reward(pred: Column, gt: Column, semantic=None) -> Column:
     similarity (a function of two values; absent it counts 0).
     """
     from nameforge.functions.names import letter_tokens
-    from nameforge.functions.pairs import keys
+    from nameforge.functions.pairs import keys, let
 
+    return let(pred, lambda p: let(gt, lambda g: _reward(p, g, letter_tokens, keys, let, semantic)))
+
+
+def _reward(pred, gt, letter_tokens, keys, let, semantic) -> Column:
     def one(e: Column) -> Column:
-        p, g = F.element_at(F.filter(pred, lambda x: x["k"] == e["k"]), 1)["v"], e["v"]
+        return let(F.element_at(F.filter(pred, lambda x: x["k"] == e["k"]), 1)["v"], lambda p: value(p, e["v"]))
+
+    def value(p: Column, g: Column) -> Column:
         mixed = 0.2 * edit_similarity(p, g) + 0.6 * recall(letter_tokens(p), letter_tokens(g))
         if semantic is not None:
             mixed = mixed + 0.2 * semantic(p, g)

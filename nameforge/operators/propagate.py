@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nameforge.functions.code import call_name
-from nameforge.functions.pairs import lookup, parse
+from nameforge.functions.pairs import let, lookup, parse
 from nameforge.functions.text import lines, strip
 
 
@@ -55,14 +55,15 @@ def callee_context(df: DataFrame, ord_col: str, predict: str, predictions: DataF
 def call_line(code: Column, callee: Column, pairs: Column) -> Column:
     """The first line that calls ``callee``, its names replaced by predictions, cut to the call up to its first closing parenthesis."""
     hits = F.filter(F.transform(lines(code), strip), lambda x: F.regexp_like(x, F.concat(F.lit(r"(?U)\b\Q"), callee, F.lit(r"\E\s*\("))))
-    first = F.try_element_at(hits, F.lit(1))
 
     def swap(acc: Column, e: Column) -> Column:
         return F.regexp_replace(acc, F.concat(F.lit(r"(?U)\b\Q"), e["k"], F.lit(r"\E\b")), F.regexp_replace(e["v"], r"([\\$])", r"\\$1"))
 
-    renamed = F.aggregate(pairs, first, swap)
-    call = F.regexp_substr(renamed, F.concat(F.lit(r"(?U)\b\Q"), lookup(pairs, callee), F.lit(r"\E\s*\([^)]*\)")))
-    return F.when(first.isNotNull(), F.coalesce(strip(call), renamed))
+    def cut(renamed: Column) -> Column:
+        call = F.regexp_substr(renamed, F.concat(F.lit(r"(?U)\b\Q"), lookup(pairs, callee), F.lit(r"\E\s*\([^)]*\)")))
+        return F.coalesce(strip(call), renamed)
+
+    return let(F.try_element_at(hits, F.lit(1)), lambda first: F.when(first.isNotNull(), let(F.aggregate(pairs, first, swap), cut)))
 
 
 def callsite_context(df: DataFrame, ord_col: str, predict: str, code: str = "code") -> DataFrame:

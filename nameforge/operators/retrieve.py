@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nameforge.functions.code import jaccard
@@ -62,24 +62,26 @@ def retrieve(
     pairs = a.join(c, ["_n", "_r"]).where(within(F.col("l0"), F.col("l1"), band) & within(F.col("f0"), F.col("f1"), band))
     if not_self:
         pairs = pairs.where(F.col("t") != F.col("c"))
-    scored = pairs.select("t", "c", "c0", "c1", score(F.col("x1"), F.col("x0")).alias("s"))
-    best = scored.groupBy("t").agg(
-        F.count("*").alias("size_filtered"),
-        F.count_if(F.col("s") > threshold).alias("qualified"),
-        F.max("s").alias("best"),
+    s = score(F.col("x1"), F.col("x0"))
+    scored = pairs.select("t", "c", "c0", "c1", s.alias("s"))
+    scored = scored.select("t", "c", "s", F.when((F.col("s") > threshold) & (F.size("c0") > 0), jaccard(F.col("c1"), F.col("c0"))).alias("j"))
+    # Pairs are joined and scored once: all statistics come from their counts by (target, score, Jaccard).
+    cells = scored.groupBy("t", "s", "j").agg(F.count("*").alias("m"), F.min("c").alias("c"))
+    levels = cells.groupBy("t", "s").agg(
+        F.sum("m").alias("top"),
+        F.min("c").alias("one"),
+        F.coalesce(F.sum(F.when(F.col("j").isNull(), F.col("m"))), F.lit(0)).alias("gaps"),
+        F.max("j").alias("j1"),
+        F.max_by("m", "j").alias("topj"),
+        F.max_by("c", "j").alias("jc"),
+        F.try_element_at(F.sort_array(F.collect_set("j"), False), F.lit(2)).alias("jb"),
     )
-    ranked = scored.join(best.select("t", "best"), "t")
-    per = ranked.groupBy("t").agg(
-        F.count_if(F.col("s") == F.col("best")).alias("top"),
-        F.max(F.when(F.col("s") < F.col("best"), F.col("s"))).alias("below"),
-        F.min(F.when(F.col("s") == F.col("best"), F.col("c"))).alias("one"),
-    )
-    stats = best.join(per, "t").withColumn("second", F.when(F.col("top") > 1, F.col("best")).otherwise(F.col("below")))
-    tied = ranked.where((F.col("s") == F.col("best")) & (F.col("s") > threshold)).join(stats.where("top > 1").select("t"), "t", "left_semi")
-    tied = tied.withColumn("j", F.when(F.size("c0") > 0, jaccard(F.col("c1"), F.col("c0"))))
-    by = tied.groupBy("t").agg(F.count_if(F.col("j").isNull()).alias("gaps"), F.max("j").alias("j1"), F.max_by("c", "j").alias("jc"))
-    most = tied.join(by.select("t", "j1"), "t").groupBy("t").agg(F.count_if(F.col("j") == F.col("j1")).alias("topj"), F.max(F.when(F.col("j") < F.col("j1"), F.col("j"))).alias("jb"))
-    stats = stats.join(by.join(most, "t"), "t", "left")
+    first = Window.partitionBy("t").orderBy(F.desc("s"))
+    two = levels.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 2)
+    fields = ("s", "top", "one", "gaps", "j1", "topj", "jc", "jb")
+    best = two.groupBy("t").agg(*(F.max(F.when(F.col("_n") == 1, F.col(f))).alias(f) for f in fields), F.max(F.when(F.col("_n") == 2, F.col("s"))).alias("below"))
+    totals = levels.groupBy("t").agg(F.sum("top").alias("size_filtered"), F.coalesce(F.sum(F.when(F.col("s") > threshold, F.col("top"))), F.lit(0)).alias("qualified"))
+    stats = best.withColumnRenamed("s", "best").join(totals, "t").withColumn("second", F.when(F.col("top") > 1, F.col("best")).otherwise(F.col("below")))
 
     full = t.join(stats.withColumnRenamed("t", key), key, "left")
     unavailable = F.col("gaps") > 0

@@ -11,6 +11,7 @@ from nameforge.functions import code, names, pairs, similarity, text
 from nameforge.operators import align, answers, curate, dedup, metrics, propagate, retrieve
 from nameforge.plans import generate, prompts
 from nameforge.plans.corpus import table
+from nameforge.session import spread
 from nameforge.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,7 +86,7 @@ def _last_wins(x: str) -> str:
 @query(rf"""SELECT func_id, md5(lower(regexp_replace(list_reduce(list_prepend({_BARE}, m), lambda acc, e: regexp_replace(acc, '([^a-zA-Z0-9_@]|^)' || regexp_escape(split_part(e, chr(1), 1)) || '([^a-zA-Z0-9_@])', '\1' || split_part(e, chr(1), 2) || '\2', 'g')), '\s+', '', 'g'))) AS digest
 FROM (SELECT func_id, code, {_last_wins('o')} AS m FROM (SELECT func_id, code, {_OUTPUT} AS o FROM functions)) WHERE code IS NOT NULL""")
 def norm_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "functions").where("code IS NOT NULL")
+    rows = spread(table(spark, folder, "functions").where("code IS NOT NULL").select("func_id", "code", "output"))
     return rows.select("func_id", F.md5(code.norm_code(F.col("code"), pairs.parse(F.col("output")))).alias("digest"))
 
 
@@ -123,7 +124,7 @@ def numeric_constants(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def code_features(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "functions").select("func_id", code.features("code", "funname").alias("index")).select("func_id", "index.*")
+    return spread(table(spark, folder, "functions").select("func_id", "code", "funname")).select("func_id", code.features("code", "funname").alias("index")).select("func_id", "index.*")
 
 
 @query()
@@ -285,7 +286,7 @@ def summary_conflicts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _retrieved(spark: SparkSession, folder: str) -> DataFrame:
     """The most similar other function by number literals, within equal arg_count and return_type and similar sizes."""
-    rows = table(spark, folder, "functions_norm").select(F.col("func_id").alias("id"), "index", F.col("norm_code").alias("code")).withColumn("numbers", code.number_tokens(F.col("code")))
+    rows = spread(table(spark, folder, "functions_norm").select(F.col("func_id").alias("id"), "index", F.col("norm_code").alias("code"))).withColumn("numbers", code.number_tokens(F.col("code")))
     return retrieve.retrieve(rows, rows, lambda a, b: F.coalesce(100 * code.jaccard(a, b), F.lit(0.0)), text="numbers", source="code", numbers="numbers", threshold=30.0, not_self=True)
 
 
@@ -424,7 +425,7 @@ _TOK = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}]+'), lambda w:
 @query()
 def scores_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Average scores by kind and split, token by token."""
-    rows = _scored(spark, folder).withColumn("s", similarity.score_names(F.col("gt"), F.col("pred")))
+    rows = spread(_scored(spark, folder)).withColumn("s", similarity.score_names(F.col("gt"), F.col("pred")))
     return metrics.averages(rows.withColumn("precision", F.col("s.precision")).withColumn("recall", F.col("s.recall")))
 
 

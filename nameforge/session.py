@@ -58,6 +58,12 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its scan has fewer pieces than there are cores (a few small files); else df as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Scratch:
     """Tables written to the shared folder, for loops: unlike a checkpoint, a table read back
     carries no constraints of the plan that made it, so plans stay small round after round."""
