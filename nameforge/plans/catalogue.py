@@ -117,7 +117,10 @@ def number_literals(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "functions").where("code IS NOT NULL").select("func_id", F.array_join(code.number_tokens(F.col("code")), " ").alias("literals"))
 
 
-@query()
+_VALUE = "CASE WHEN starts_with(t, '0x') THEN CAST(CAST(t AS HUGEINT) AS VARCHAR) WHEN ends_with(t, 'h') THEN CAST(CAST('0x' || rtrim(t, 'h') AS HUGEINT) AS VARCHAR) ELSE CAST(CAST(t AS HUGEINT) AS VARCHAR) END"
+
+
+@query(f"SELECT func_id, array_to_string(list_sort(list_distinct(list_transform({_NUMBERS}, lambda t: {_VALUE}))), ' ') AS numbers FROM functions")
 def numeric_constants(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "functions").select("func_id", F.array_join(code.numbers(F.col("code")), " ").alias("numbers"))
 
