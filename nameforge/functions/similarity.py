@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,11 +35,55 @@ def lcs(a: str, b: str) -> int:
     return k + t + len(x) - row.bit_count()
 
 
+def lcs_many(texts: list[str], other: str, most: int = 1 << 20) -> list[int]:
+    """``lcs`` of each text with one other; the texts lie side by side in one long integer.
+
+    Each text has whole bytes and at least one bit more than characters: the bit takes
+    up the carry, so no text touches the next.
+    """
+    if len(texts) > 1 and sum(map(len, texts)) > most:
+        half = len(texts) // 2
+        return lcs_many(texts[:half], other, most) + lcs_many(texts[half:], other, most)
+    lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    room = lens // 8 + 1
+    first = np.cumsum(room) - room
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    place = np.arange(len(points)) + np.repeat(8 * first - (np.cumsum(lens) - lens), lens)
+
+    def bits(places: np.ndarray) -> int:
+        flags = np.zeros(8 * int(room.sum()), dtype=np.uint8)
+        flags[places] = 1
+        return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+    at = {c: bits(place[points == ord(c)]) for c in set(other)}
+    row = mask = bits(place)
+    for c in other:
+        hit = row & at[c]
+        row = ((row + hit) | (row - hit)) & mask
+    left = np.bitwise_count(np.frombuffer(row.to_bytes(int(room.sum()), "little"), dtype=np.uint8)).astype(np.int64)
+    return (lens - np.add.reduceat(left, first)).tolist() if len(texts) else []
+
+
+def ratios(a: list[str | None], b: list[str | None]) -> list[float | None]:
+    """The ratio of each pair of texts; pairs that share a text are compared with it together."""
+    turned = len(set(a)) < len(set(b))
+    by: dict[str, dict[str, float]] = {}
+    for x, y in zip(b, a, strict=True) if not turned else zip(a, b, strict=True):
+        if x is not None and y is not None:
+            by.setdefault(x, {})[y] = 100.0
+    for x, others in by.items():
+        asked = [y for y in others if y != x]
+        for y, n in zip(asked, lcs_many(asked, x), strict=True):
+            others[y] = 200.0 * n / (len(x) + len(y))
+    pairs = zip(a, b, strict=True) if turned else zip(b, a, strict=True)
+    return [None if x is None or y is None else by[x][y] for x, y in pairs]
+
+
 @F.pandas_udf(DoubleType())
 def indel_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """100 (1 - d / (la + lb)), d the insertions and deletions of characters between two texts; two empty texts have 100."""
     for a, b in batches:
-        yield pd.Series([None if x is None or y is None else 100.0 if not x and not y else 200.0 * lcs(x, y) / (len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+        yield pd.Series(ratios(a.tolist(), b.tolist()), dtype="float64")
 
 
 def rounded_ratio(ratio: Column) -> Column:

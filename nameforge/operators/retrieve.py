@@ -49,7 +49,7 @@ def retrieve(
     Candidates have a non-empty ``source`` text and an index with the target's
     arg_count and return_type and loc and full_loc within the band. The best score
     over the threshold wins if it is unique; a tie goes to the unique largest Jaccard
-    of the number sets. Targets need a unique ``key``; all of them are kept.
+    of the number sets. Pairs without a score do not count. Targets need a unique ``key``; all of them are kept.
     Native predicates come before the score, and only ids, numbers and scores pass
     through the aggregation.
     """
@@ -63,7 +63,7 @@ def retrieve(
     if not_self:
         pairs = pairs.where(F.col("t") != F.col("c"))
     s = score(F.col("x1"), F.col("x0"))
-    scored = pairs.select("t", "c", "c0", "c1", s.alias("s"))
+    scored = pairs.select("t", "c", "c0", "c1", s.alias("s")).where(F.col("s").isNotNull())
     scored = scored.select("t", "c", "s", F.when((F.col("s") > threshold) & (F.size("c0") > 0), jaccard(F.col("c1"), F.col("c0"))).alias("j"))
     # Pairs are joined and scored once: all statistics come from their counts by (target, score, Jaccard).
     cells = scored.groupBy("t", "s", "j").agg(F.count("*").alias("m"), F.min("c").alias("c"))
@@ -76,12 +76,13 @@ def retrieve(
         F.max_by("c", "j").alias("jc"),
         F.try_element_at(F.sort_array(F.collect_set("j"), False), F.lit(2)).alias("jb"),
     )
-    first = Window.partitionBy("t").orderBy(F.desc("s"))
+    first, whole = Window.partitionBy("t").orderBy(F.desc("s")), Window.partitionBy("t")
+    # Totals come from the same pass: a second use of the levels would join and score all pairs again.
+    levels = levels.withColumn("size_filtered", F.sum("top").over(whole)).withColumn("qualified", F.coalesce(F.sum(F.when(F.col("s") > threshold, F.col("top"))).over(whole), F.lit(0)))
     two = levels.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 2)
-    fields = ("s", "top", "one", "gaps", "j1", "topj", "jc", "jb")
+    fields = ("s", "top", "one", "gaps", "j1", "topj", "jc", "jb", "size_filtered", "qualified")
     best = two.groupBy("t").agg(*(F.max(F.when(F.col("_n") == 1, F.col(f))).alias(f) for f in fields), F.max(F.when(F.col("_n") == 2, F.col("s"))).alias("below"))
-    totals = levels.groupBy("t").agg(F.sum("top").alias("size_filtered"), F.coalesce(F.sum(F.when(F.col("s") > threshold, F.col("top"))), F.lit(0)).alias("qualified"))
-    stats = best.withColumnRenamed("s", "best").join(totals, "t").withColumn("second", F.when(F.col("top") > 1, F.col("best")).otherwise(F.col("below")))
+    stats = best.withColumnRenamed("s", "best").withColumn("second", F.when(F.col("top") > 1, F.col("best")).otherwise(F.col("below")))
 
     full = t.join(stats.withColumnRenamed("t", key), key, "left")
     unavailable = F.col("gaps") > 0

@@ -318,6 +318,25 @@ def retrieval_counts(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.status_counts(_retrieved(spark, folder).select(F.col("retrieval.status").alias("status")), "status", retrieve.STATUSES)
 
 
+def _nearest(spark: SparkSession, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The most similar other function by the ratio of normalised code, over 90; numeric constants decide ties only."""
+    rows = spread(table(spark, folder, "functions_norm").select(F.col("func_id").alias("id"), "index", F.col("norm_code").alias("code")))
+    rows = rows.withColumn("text", code.norm_placeholders(F.col("code"))).withColumn("numbers", code.numbers(F.col("code")))
+    return retrieve.retrieve(rows, rows, similarity.indel_ratio, text="text", source="code", numbers="numbers", keep=keep, not_self=True)
+
+
+@query()
+def retrieve_indel(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole retrieval; retrieve_similar is the part of it that SQL can follow, by numbers alone."""
+    r = F.col("retrieval")
+    return _nearest(spark, folder).select("id", r["status"].alias("status"), F.col("match.id").alias("match_id"), r["best_score"].alias("best"), r["second_best_score"].alias("second"), r["qualified_candidate_count"].alias("qualified"), r["size_filtered_candidate_count"].alias("sized"), r["selection_method"].alias("method"))
+
+
+@query()
+def retrieve_indel_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.status_counts(_nearest(spark, folder).select(F.col("retrieval.status").alias("status")), "status", retrieve.STATUSES)
+
+
 @query("""WITH b AS (SELECT p_brand, max(p_retailprice) AS best FROM part GROUP BY p_brand)
 SELECT p_brand, min(p_partkey) FILTER (p_retailprice = best) AS best_id, best, CASE WHEN count(*) FILTER (p_retailprice = best) > 1 THEN best ELSE max(p_retailprice) FILTER (p_retailprice < best) END AS second, count(*) FILTER (p_retailprice = best) AS ties FROM part JOIN b USING (p_brand) GROUP BY p_brand, best""")
 def top_and_runner_up(spark: SparkSession, folder: str) -> DataFrame:
