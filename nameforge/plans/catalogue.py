@@ -397,21 +397,31 @@ def prompt_context(spark: SparkSession, folder: str) -> DataFrame:
 def prompt_domain(spark: SparkSession, folder: str) -> DataFrame:
     made = prompts.domain_prompt(F.col("analysis.project_name"), F.col("analysis.file_output"), F.col("analysis.ldd_output"), F.col("analysis.strings_truncated"))
     rows = table(spark, folder, "domain_records").select("rec_id", made.alias("p"))
-    return rows.select("rec_id", prompts.cut_domain(F.col("p.prompt"), 600).alias("prompt"), "p.no_libraries", "p.no_strings")
+    return rows.select("rec_id", prompts.cut_domain(F.col("p.prompt")).alias("prompt"), "p.no_libraries", "p.no_strings")
 
 
 @query()
 def prompt_identifiers(spark: SparkSession, folder: str) -> DataFrame:
     rows = _called(spark, folder)
     made = prompts.identifier_prompt(F.lit("<SUMMARY> a program </SUMMARY>"), F.col("code"), F.col("params"), F.array_sort(F.map_keys("vars_aligned")), F.col("funname"), F.col("callees"))
-    return rows.select("func_id", F.length(prompts.cut_identifier(made, 900)).alias("chars"), F.md5(prompts.cut_identifier(made, 900)).alias("digest"))
+    return rows.select("func_id", F.length(prompts.cut_identifier(made)).alias("chars"), F.md5(prompts.cut_identifier(made)).alias("digest"))
 
 
 @query("""SELECT doc_id, md5(CASE WHEN length(p) <= 400 THEN p ELSE substr('<STRINGS_OUTPUT>' || CASE WHEN contains(r, chr(10)) THEN substr(r, 1, length(r) - strpos(reverse(r), chr(10))) ELSE r END || m || '</STRINGS_OUTPUT>', 1, 400) END) AS digest
 FROM (SELECT doc_id, p, m, substr(text, 1, 400 - 16 - 17 - length(m)) AS r FROM (SELECT doc_id, text, '<STRINGS_OUTPUT>' || text || '</STRINGS_OUTPUT>' AS p, chr(10) || '...[STRINGS TRUNCATED TO FIT MODEL CONTEXT]...' || chr(10) AS m FROM documents WHERE text IS NOT NULL))""")
 def prompt_cut(spark: SparkSession, folder: str) -> DataFrame:
+    """Cut to 400 characters, so that there is something to cut; prompt_cut_production has the limit of the models."""
+    return _cut(spark, folder, 400)
+
+
+def _cut(spark: SparkSession, folder: str, most: int) -> DataFrame:
     rows = table(spark, folder, "documents").where("text IS NOT NULL")
-    return rows.select("doc_id", F.md5(prompts.cut_domain(F.concat(F.lit("<STRINGS_OUTPUT>"), "text", F.lit("</STRINGS_OUTPUT>")), 400)).alias("digest"))
+    return rows.select("doc_id", F.md5(prompts.cut_domain(F.concat(F.lit("<STRINGS_OUTPUT>"), "text", F.lit("</STRINGS_OUTPUT>")), most)).alias("digest"))
+
+
+@query(SQL["prompt_cut"].replace("400", str(prompts.MOST_CHARS)))
+def prompt_cut_production(spark: SparkSession, folder: str) -> DataFrame:
+    return _cut(spark, folder, prompts.MOST_CHARS)
 
 
 # ---- scores -------------------------------------------------------------------------------------------------------
@@ -526,7 +536,17 @@ def resume_tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(rf"SELECT func_id FROM functions WHERE {_strip("coalesce(output, '')")} <> '' AND len(list_filter(regexp_split_to_array(coalesce(code, '') || output, '\s+'), lambda w: w <> '')) <= 120")
 def clean_records(spark: SparkSession, folder: str) -> DataFrame:
-    return curate.clean(table(spark, folder, "functions").withColumn("code", F.coalesce("code", F.lit(""))), "code", "output", generate.words_count, 120).select("func_id")
+    """Records of up to 120 words, so that some are too long; clean_records_production has the limit of the models."""
+    return _cleaned(spark, folder, 120)
+
+
+def _cleaned(spark: SparkSession, folder: str, most: int) -> DataFrame:
+    return curate.clean(table(spark, folder, "functions").withColumn("code", F.coalesce("code", F.lit(""))), "code", "output", generate.words_count, most).select("func_id")
+
+
+@query(SQL["clean_records"].replace("<= 120", "<= 16384"))
+def clean_records_production(spark: SparkSession, folder: str) -> DataFrame:
+    return _cleaned(spark, folder, 16384)
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (code IS NULL) AS no_code, count(*) FILTER (proj IS NULL) AS no_proj, count(*) FILTER (len(callees) = 0) AS no_callee FROM functions")
@@ -536,11 +556,20 @@ def run_counters(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(r"""SELECT count(*) AS records, sum(256) AS tokens, sum(least(n + m + 1, 256)) AS attended, sum(greatest(0, least(n + m + 1, 256) - n)) AS labelled FROM (SELECT len(list_filter(regexp_split_to_array(code, '\s+'), lambda w: w <> '')) AS n, len(list_filter(regexp_split_to_array(output, '\s+'), lambda w: w <> '')) AS m FROM functions WHERE code <> '' AND output <> '')""")
 def sft_encode(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals over the encoded records, cut to 256 tokens."""
-    got = generate.encode(table(spark, folder, "functions"), "code", "output", generate.word_ids, 0, 256, cut=True)
+    """Totals over the encoded records, cut to 256 tokens, so that there is something to cut; sft_encode_production has the limit of the models."""
+    return _encoded(spark, folder, 256)
+
+
+def _encoded(spark: SparkSession, folder: str, most: int) -> DataFrame:
+    got = generate.encode(table(spark, folder, "functions"), "code", "output", generate.word_ids, 0, most, cut=True)
     return got.agg(F.count("*").alias("records"), F.sum(F.size("input_ids")).alias("tokens"), F.sum(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("attended"), F.sum(F.size(F.filter("labels", lambda x: x != -100))).alias("labelled"))
 
 
+@query(SQL["sft_encode"].replace("256", "4096"))
+def sft_encode_production(spark: SparkSession, folder: str) -> DataFrame:
+    return _encoded(spark, folder, 4096)
+
+
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS rows FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.counts(table(spark, folder, "events"), "ts", "1 day", ["event_type"])

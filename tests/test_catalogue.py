@@ -1,11 +1,13 @@
 """Registered queries over small tables made here."""
 
 import random
+from hashlib import md5
 
 from pyspark.sql import functions as F
 
 from nameforge.functions import similarity
 from nameforge.functions.similarity import lcs
+from nameforge.plans import prompts
 from nameforge.plans.catalogue import QUERIES
 
 INDEX = "struct<arg_count int, return_type string, loc int, full_loc int>"
@@ -81,3 +83,32 @@ def test_texts_side_by_side_score_as_single_ones(spark):
     for a, b, s in got:
         assert s == (None if a is None or b is None else 100.0 if not a and not b else 200.0 * lcs(a, b) / (len(a) + len(b)))
     assert similarity.lcs_many(texts, "abécab", most=50) == [lcs(t, "abécab") for t in texts]
+
+
+FUNCTIONS = "func_id long, proj string, bin string, funname string, code string, callees array<string>, params_aligned map<string,string>, vars_aligned map<string,string>, output string"
+
+
+def test_prompt_queries_cut_at_the_limit_of_the_models(spark, tmp_path):
+    at, limit = str(tmp_path), prompts.MOST_CHARS
+    strings = ["\n".join(f"line {k}" for k in range(n)) for n in (300, 40_000)]
+    evidence = "struct<project_name string, file_output string, ldd_output string, strings_truncated string>"
+    spark.createDataFrame([(i, ("p", "ELF", "libc", x)) for i, x in enumerate(strings)], f"rec_id int, analysis {evidence}").write.parquet(f"{at}/domain_records.parquet")
+    codes = ["f()\n{\n" + "x = 1;\n" * n + "}" for n in (500, 1, 50_000)]
+    spark.createDataFrame([(i, "p", "b", "f", c, [], {}, {}, "f:run") for i, c in enumerate(codes)], FUNCTIONS).write.parquet(f"{at}/functions.parquet")
+    texts = ["a\n" * 5_000, "b\n" * 200_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{at}/documents.parquet")
+
+    whole, cut = (r["prompt"] for r in QUERIES["prompt_domain"](spark, at).orderBy("rec_id").collect())
+    assert strings[0] in whole and prompts.STRINGS_MARK not in whole
+    assert prompts.STRINGS_MARK in cut and limit - 20 < len(cut) <= limit
+    chars = [r["chars"] for r in QUERIES["prompt_identifiers"](spark, at).orderBy("func_id").collect()]
+    assert chars[0] - chars[1] == len(codes[0]) - len(codes[1]) and chars[2] == limit
+    digests = [r["digest"] for r in QUERIES["prompt_cut_production"](spark, at).orderBy("doc_id").collect()]
+    assert digests[0] == md5(f"<STRINGS_OUTPUT>{texts[0]}</STRINGS_OUTPUT>".encode()).hexdigest()
+    assert digests[1] != md5(f"<STRINGS_OUTPUT>{texts[1]}</STRINGS_OUTPUT>".encode()).hexdigest()
+    assert [r[0] for r in QUERIES["clean_records_production"](spark, at).orderBy("func_id").collect()] == [0, 1]
+    n = [len(c.split()) for c in codes]
+    got = QUERIES["sft_encode_production"](spark, at).first()
+    assert (got["records"], got["tokens"], got["attended"], got["labelled"]) == (3, 3 * 4096, n[0] + n[1] + 4 + 4096, 4)
+    small = spark.createDataFrame([("<STRINGS_OUTPUT>" + "ab\n" * 100 + "</STRINGS_OUTPUT>",)], "t string").select(prompts.cut_domain(F.col("t"), 120)).first()[0]
+    assert len(small) <= 120 and prompts.STRINGS_MARK in small and small.endswith("</STRINGS_OUTPUT>")
