@@ -11,7 +11,7 @@ from nameforge.functions import code, names, pairs, similarity, text
 from nameforge.operators import align, answers, curate, dedup, metrics, propagate, retrieve
 from nameforge.plans import generate, prompts
 from nameforge.plans.corpus import table
-from nameforge.session import spread
+from nameforge.session import checkpoint, spread
 from nameforge.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -373,10 +373,16 @@ def propagate_callsites(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def context_rounds(spark: SparkSession, folder: str) -> DataFrame:
-    """Two rounds of prediction and propagation with the offline stand-in for a model."""
+    """Two rounds of prediction and propagation with the offline stand-in for a model.
+
+    What is similar is the winner of the retrieval, the summary that of the program; records without one go without.
+    """
     rows = _called(spark, folder).drop("predict").where("code IS NOT NULL")
-    rows = rows.withColumn("variables", F.array_sort(F.coalesce(F.map_keys("vars_aligned"), F.array().cast("array<string>")))).withColumn("summary", F.lit("a program"))
-    rows = rows.withColumn("similar", F.when(F.col("func_id") % 3 == 0, F.col("code")))
+    rows = rows.withColumn("variables", F.array_sort(F.coalesce(F.map_keys("vars_aligned"), F.array().cast("array<string>"))))
+    rows = curate.lookup_join(rows, table(spark, folder, "domain_records"), ["proj", "bin"], "domain_summary").withColumnRenamed("domain_summary", "summary")
+    # Written once: the rounds read it several times, and the retrieval is costly.
+    won = checkpoint(_nearest(spark, folder, ("code",)).where("match IS NOT NULL").select(F.col("id").alias("ord"), F.col("match.code").alias("similar")))
+    rows = rows.join(won, "ord", "left")
     out = generate.rounds(rows.select("ord", "bin", "funname", "code", "callees", "params", "variables", "output", "summary", "similar"), 2)
     return out.select("ord", F.md5("input").alias("prompt_digest"), "predict", F.size("predict_callees").alias("callees_known"))
 

@@ -112,3 +112,24 @@ def test_prompt_queries_cut_at_the_limit_of_the_models(spark, tmp_path):
     assert (got["records"], got["tokens"], got["attended"], got["labelled"]) == (3, 3 * 4096, n[0] + n[1] + 4 + 4096, 4)
     small = spark.createDataFrame([("<STRINGS_OUTPUT>" + "ab\n" * 100 + "</STRINGS_OUTPUT>",)], "t string").select(prompts.cut_domain(F.col("t"), 120)).first()[0]
     assert len(small) <= 120 and prompts.STRINGS_MARK in small and small.endswith("</STRINGS_OUTPUT>")
+
+
+def test_rounds_are_fed_by_retrieval_and_summaries(spark, tmp_path):
+    at, index = str(tmp_path), (1, "int", 5, 5)
+    rows = [(i, "p", b, n, c, [], {}, {}, f"{n}:run") for i, b, n, c in ((1, "b", "f", "f(){}"), (2, "b", "g", "g(){}"), (3, "c", "h", "h(){}"), (4, "b", "k", "k(){}"))]
+    spark.createDataFrame(rows, FUNCTIONS).write.parquet(f"{at}/functions.parquet")
+    text = "open(path); read(path, size); close(path);"
+    norm = [(1, text + "a", index), (2, text + "b", index), (3, "something else", (2, "int", 5, 5))]
+    spark.createDataFrame(norm, f"func_id long, norm_code string, index {INDEX}").write.parquet(f"{at}/functions_norm.parquet")
+    sums = [("p", "b", " reads files "), ("p", "c", "x"), ("p", "c", "y")]
+    spark.createDataFrame(sums, "proj string, bin string, domain_summary string").write.parquet(f"{at}/domain_records.parquet")
+
+    def known(similar, code, name):
+        return f"<unstripped_code>\n{similar}\n</unstripped_code>\n<code>\n{code}\n</code>\npredict the original names of {name}."
+
+    def context(summary, code, name):
+        return f"\n<SUMMARY>\n{summary}\n</SUMMARY>\n<CallSites>\n\n</CallSites>\n<Callees>\n\n</Callees>\n<code>\n{code}\n</code>\npredict the original names of {name}.\n    "
+
+    want = {1: known(text + "b", "f(){}", "f"), 2: known(text + "a", "g(){}", "g"), 3: context("", "h(){}", "h"), 4: context("reads files", "k(){}", "k")}
+    got = {r["ord"]: r["prompt_digest"] for r in QUERIES["context_rounds"](spark, at).collect()}
+    assert got == {i: md5(x.encode()).hexdigest() for i, x in want.items()}
