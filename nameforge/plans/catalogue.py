@@ -141,6 +141,18 @@ def own_calls(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "functions").select("func_id", F.array_join(code.calls("funname", F.array("code")), "\n").alias("calls"))
 
 
+@query()
+def caller_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls of each function in the codes of its callers, the records of its binary that list it; by caller, in order of occurrence."""
+    rows = table(spark, folder, "functions")
+    targets = rows.select("func_id", "bin", "funname")
+    listed = propagate.edges(rows, "func_id").select("bin_id", "ord", "callee").distinct()
+    edges = listed.join(targets, (F.col("bin_id") == F.col("bin")) & (F.col("callee") == F.col("funname"))).select("func_id", "ord", "callee")
+    scanned = edges.join(rows.select(F.col("func_id").alias("ord"), "code"), "ord").select("func_id", "ord", F.posexplode(code.calls("callee", F.array("code"))).alias("pos", "call"))
+    found = scanned.groupBy("func_id").agg(propagate.ordered_distinct("call", "ord", "pos").alias("_calls"))
+    return targets.select("func_id").join(found, "func_id", "left").select("func_id", F.array_join(F.coalesce("_calls", F.array().cast("array<string>")), "\n").alias("calls"))
+
+
 @query(r"""SELECT func_id, pos, CASE WHEN n = '' THEN regexp_replace(c, '^\s+|\s+$', '', 'g') WHEN p = '' THEN n || '()' ELSE n || '(' || array_to_string(list_transform(list_filter(list_transform(string_split(p, ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda x: regexp_replace(regexp_split_to_array(x, '\s+')[-1], '[*&]', '', 'g')), ', ') || ')' END AS signature
 FROM (SELECT func_id, pos, c, regexp_extract(c, '(?s)([A-Za-z_]\w*)\s*\((.*?)\)', 1) AS n, regexp_replace(regexp_extract(c, '(?s)([A-Za-z_]\w*)\s*\((.*?)\)', 2), '^\s+|\s+$', '', 'g') AS p
       FROM (SELECT func_id, unnest(range(len(callees))) AS pos, unnest(list_transform(callees, lambda e: substr(e, strpos(e, ':') + 1))) AS c FROM functions))""")

@@ -133,3 +133,18 @@ def test_rounds_are_fed_by_retrieval_and_summaries(spark, tmp_path):
     want = {1: known(text + "b", "f(){}", "f"), 2: known(text + "a", "g(){}", "g"), 3: context("", "h(){}", "h"), 4: context("reads files", "k(){}", "k")}
     got = {r["ord"]: r["prompt_digest"] for r in QUERIES["context_rounds"](spark, at).collect()}
     assert got == {i: md5(x.encode()).hexdigest() for i, x in want.items()}
+
+
+def test_calls_are_found_in_the_codes_of_callers(spark, tmp_path):
+    at = str(tmp_path)
+    rows = [
+        (1, "b", "g", "int g(a)\n{ return 0; }", []),
+        (2, "b", "f", "f() { g(1); x.g(2); g(h(3)); }", ["g:g()", "g:g()"]),
+        (3, "b", "k", "k() { g(1); g(4); }", [" g :g()"]),
+        (4, "b", "r", "r(n) { r(n - 1); }", ["r:r()"]),
+        (5, "c", "m", "m() { g(9); }", ["g:g()"]),
+        (6, "b", "n", None, ["g:g()"]),
+    ]
+    spark.createDataFrame([(i, "p", b, n, c, e, {}, {}, None) for i, b, n, c, e in rows], FUNCTIONS).write.parquet(f"{at}/functions.parquet")
+    got = {r["func_id"]: r["calls"] for r in QUERIES["caller_calls"](spark, at).collect()}
+    assert got == {1: "g(1)\ng(h(3))\ng(4)", 2: "", 3: "", 4: "r(n)\nr(n - 1)", 5: "", 6: ""}
