@@ -148,3 +148,10 @@ def test_calls_are_found_in_the_codes_of_callers(spark, tmp_path):
     spark.createDataFrame([(i, "p", b, n, c, e, {}, {}, None) for i, b, n, c, e in rows], FUNCTIONS).write.parquet(f"{at}/functions.parquet")
     got = {r["func_id"]: r["calls"] for r in QUERIES["caller_calls"](spark, at).collect()}
     assert got == {1: "g(1)\ng(h(3))\ng(4)", 2: "", 3: "", 4: "r(n)\nr(n - 1)", 5: "", 6: ""}
+
+
+def test_words_of_names_with_neighbouring_single_letters(spark, tmp_path):
+    names = ["a_b_tree", "x_y", "Read_File", "a_bc_d", None]
+    spark.createDataFrame([({"s": n},) for n in names], "funname_aligned map<string,string>").write.parquet(f"{tmp_path}/test.parquet")
+    got = {r["name"]: r["words"] for r in QUERIES["name_words"](spark, str(tmp_path)).collect()}
+    assert got == {"a_b_tree": "ab tree", "x_y": "xy", "read_file": "read file", "a_bc_d": "a bc d"}
