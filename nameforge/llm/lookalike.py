@@ -30,6 +30,8 @@ _UNSEEN = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢
 
 _PLAIN = {ord(a): b for a, b in _SAME.items()}
 _PLAIN |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}  # full width
+# Half-width kana and Hangul, full-width signs: the character of usual width, not NFKC, which would go on and take ¯ or ㄱ apart.
+_PLAIN |= {c: chr(int(d.split()[1], 16)) for c in range(0xFF61, 0xFFEF) if (d := unicodedata.decomposition(chr(c))).startswith(("<narrow>", "<wide>"))}
 _PLAIN |= {c: unicodedata.normalize("NFKC", chr(c)) for c in range(0x2160, 0x2180)}  # Roman numerals
 _PLAIN |= {c: " " for c in (0xA0, 0x1680, 0x202F, 0x205F, 0x3000, *range(0x2000, 0x200B))}
 _PLAIN |= {ord(c): None for c in _UNSEEN}

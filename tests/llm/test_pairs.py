@@ -242,3 +242,10 @@ def test_twins_of_many_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {tuple(r) for r in lookalike.twins(lookalike.forms(df, "doc_id", "text")).collect()}
     assert got == {(0, i) for i in range(1, 300)}
+
+
+def test_width_is_no_difference():
+    assert lookalike.plain("ｶﾞﾊﾟｱｰ｡") == "ガパアー。"
+    assert lookalike.plain("ﾡￂ") == lookalike.plain("ㄱㅏ")
+    assert lookalike.plain("￠￡￢￣￤￥￦") == "¢£¬¯¦¥₩"
+    assert lookalike.plain("aﾠb") == "ab"
