@@ -8,7 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def first_seen(stream: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
-    """The first record of each key within the watermark; state older than that is dropped."""
+    """The first record of each key within the watermark; state older than that is dropped.
+
+    A row that arrives more than ``late`` behind the newest one of the batches before is
+    lost, even if it is the first of its key. For data that come days or weeks late take
+    a ``late`` that covers them, or join late rows as a batch against what is written
+    (``curate.resume``).
+    """
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
