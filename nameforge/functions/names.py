@@ -27,7 +27,19 @@ def interesting(name: Column) -> Column:
 def compiler_made(name: Column) -> Column:
     """Start-up and tear-down functions that a compiler or linker adds."""
     # Names that compilers add.
-    made = ("_start", "_init", "_fini", "__libc_csu_init", "__libc_csu_fini", "deregister_tm_clones", "register_tm_clones", "frame_dummy", "__do_global_dtors_aux", "__libc_start_main", "_dl_relocate_static_pie")
+    made = (
+        "deregister_tm_clones",
+        "register_tm_clones",
+        "__do_global_dtors_aux",
+        "__libc_csu_init",
+        "__libc_csu_fini",
+        "_start",
+        "_fini",
+        "_init",
+        "__do_global_ctors_aux",
+        "frame_dummy",
+        "__gmon_start__",
+    )
     return F.coalesce(name.isin(*made) | name.rlike(r"^(__|\.|_start|_init|_fini)"), F.lit(False))
 
 

@@ -91,13 +91,9 @@ def norm_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _chain(x: str) -> str:
-    for pattern, mark in (
-        (r"\b(?:j_sub_|sub_|nullsub_)[0-9a-fA-F]+\b", "<fun>"),
-        (r"\b(?:loc_|locret_)[0-9a-fA-F]+\b", "<label>"),
-        (r"\b(?:zmmword_|ymmword_|xmmword_|oword_|tbyte_|qword_|dword_|word_|byte_|unk_|off_|asci_|asc_|stru_|flt_|dbl_)[0-9a-fA-F]+\b", "<global_var>"),
-        (r"\b0[xX][0-9a-fA-F]+\b", "<hex>"),
-        (r"\b[0-9a-fA-F]+[hH]\b", "<hex>"),
-    ):
+    """SQL: the normal form for retrieval, from the same fixed prefixes."""
+    marks = [(rf"\b(?:{'|'.join(p)})[0-9a-fA-F]+\b", m) for p, m in ((code.FUNCTION_PREFIXES, "<fun>"), (code.LABEL_PREFIXES, "<label>"), (code.GLOBAL_PREFIXES, "<global_var>"))]
+    for pattern, mark in [*marks, (r"\b0[xX][0-9a-fA-F]+\b", "<hex>"), (r"\b[0-9a-fA-F]+[hH]\b", "<hex>")]:
         x = f"regexp_replace({x}, '{pattern}', '{mark}', 'g')"
     return rf"lower(regexp_replace({x}, '\s+', '', 'g'))"
 
@@ -107,9 +103,8 @@ def norm_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "functions").where("code IS NOT NULL").select("func_id", F.md5(code.norm_placeholders(F.col("code"))).alias("digest"))
 
 
-_QUOTED = r"""regexp_replace(code, '(?s)"(?:\\.|[^"\\])*"|''(?:\\.|[^''\\])*''|/\*.*?\*/|//[^\r\n]*', '', 'g')"""
-_LITERAL = r"(?i)^(?:0x[0-9a-f]+|[0-9][0-9a-f]*h|0b[01]+|[0-9]+)(?:u(?:ll?)?|ll?u?|u?i(?:8|16|32|64))?$"
-_NUMBERS = rf"list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array({_QUOTED}, '[^A-Za-z0-9_$?@.]+'), lambda t: regexp_matches(t, '{_LITERAL}')), lambda t: lower(regexp_replace(t, '(?i)(?:u(?:ll?)?|ll?u?|u?i(?:8|16|32|64))$', '')))))"
+_QUOTED = f"regexp_replace(code, '{code.IGNORED.replace(chr(39), chr(39) * 2)}', '', 'g')"
+_NUMBERS = rf"list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array({_QUOTED}, '[^{code.NAME_RUN}]+'), lambda t: regexp_matches(t, '{code.LITERAL}')), lambda t: lower(regexp_replace(t, '{code.SUFFIX}', '')))))"
 
 
 @query(f"SELECT func_id, array_to_string({_NUMBERS}, ' ') AS literals FROM functions WHERE code IS NOT NULL")
