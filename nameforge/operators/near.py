@@ -34,12 +34,21 @@ def spread(order: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray,
         lo = hi
 
 
-def similar(texts: list[str], of: np.ndarray, cell: np.ndarray, side: np.ndarray, sizes: list[np.ndarray], budget: tuple[int, int], bands: list[tuple[int, int]], opened: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def distance(texts: list[str], x: int, y: int, known: dict[tuple[int, int], int]) -> int:
+    """Insertions and deletions between two texts, worked out once."""
+    p = (x, y) if x < y else (y, x)
+    if p not in known:
+        known[p] = len(texts[x]) + len(texts[y]) - 2 * lcs(texts[x], texts[y])
+    return known[p]
+
+
+def similar(texts: list[str], of: np.ndarray, cell: np.ndarray, side: np.ndarray, sizes: list[np.ndarray], budget: tuple[int, int], bands: list[tuple[int, int]], known: dict[tuple[int, int], int] | None = None, opened: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, d): rows of one cell whose texts are d insertions and deletions apart, d <= budget (la + lb).
 
     of: the text of each row. In a cell of side 0 each pair of rows comes once; else i
     has side 1 and j side 2. sizes: for each row what the bands limit. Equal texts of
-    a cell are one item of the trie, and each pair of texts is checked once.
+    a cell are one item of the trie, and each pair of texts is checked once; known keeps
+    the distances, opened gets the number of pairs that the trie looked at.
     """
     root = cell.astype(np.int64) * 3 + side
     item, first, back = np.unique(root * len(texts) + of, return_index=True, return_inverse=True)
@@ -57,7 +66,7 @@ def similar(texts: list[str], of: np.ndarray, cell: np.ndarray, side: np.ndarray
     alone = [k for r, k in at.items() if r % 3 == 0]
     two = [(k, at[r + 1]) for r, k in at.items() if r % 3 == 1 and r + 1 in at]
     order, starts = rows_below(back, len(item))
-    known: dict[tuple[int, int], int] = {}
+    known = {} if known is None else known
     num, den = budget
 
     def out(a: np.ndarray, b: np.ndarray, d: np.ndarray):
@@ -71,10 +80,7 @@ def similar(texts: list[str], of: np.ndarray, cell: np.ndarray, side: np.ndarray
     def checked(a: np.ndarray, b: np.ndarray):
         d = np.empty(len(a), dtype=np.int64)
         for k, (x, y) in enumerate(zip(text[a].tolist(), text[b].tolist(), strict=True)):
-            p = (x, y) if x < y else (y, x)
-            if p not in known:
-                known[p] = int(length[x] + length[y]) - 2 * lcs(texts[x], texts[y])
-            d[k] = known[p]
+            d[k] = distance(texts, x, y, known)
         keep = d * den <= num * (length[text[a]] + length[text[b]])
         return a[keep], b[keep], d[keep]
 
