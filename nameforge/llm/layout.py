@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nameforge.functions.names import WHITE
-from nameforge.llm.cells import squeeze
+from nameforge.operators.cells import squeeze
 from nameforge.session import checkpoint
 
 #: Characters that only lay out code.

@@ -7,17 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nameforge.functions.names import name_of
-from nameforge.llm import cells, hamming
+from nameforge.operators import cells, near
 
-CAP = 2000
 #: Words per shingle.
 WORDS = 5
-#: Least share of an evaluation record's shingles that a training record must hold to be checked at once.
-#: Edits spread over every word leave fewer; such pairs are found by the sound sketch bound instead.
+#: Least share of an evaluation record's shingles that a training record must hold to be checked.
 LEAST = 0.1
 
 _WORD = re.compile(r"[^\W_]\w*|_\w*")
@@ -37,12 +36,17 @@ def features(df: DataFrame, id_col: str = "test_id", name: str = "funname_aligne
     )
 
 
-def shingles(text: str, n: int = WORDS) -> np.ndarray:
-    """Distinct hashes of the n-word shingles of a text; a shorter text has one, of all its words."""
+def shingles(text: str, known: dict[str, int], n: int = WORDS) -> np.ndarray:
+    """Distinct hashes of the n-word shingles of a text; a shorter text has one, of all its words.
+
+    Words are hashed by xxHash, so a shingle has one value in every process; known keeps the words met so far.
+    """
     words = _WORD.findall(text)
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(hash, words), dtype=np.int64, count=len(words)).astype(np.uint64)
+    for w in set(words) - known.keys():
+        known[w] = xxhash.xxh64_intdigest(w)
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     n = min(n, len(h))
     out = np.zeros(len(h) - n + 1, dtype=np.uint64)
     for k in range(n):
@@ -51,49 +55,48 @@ def shingles(text: str, n: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def contained(grams: list[np.ndarray], ask: np.ndarray, have: np.ndarray, least: float, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(asking row, holding row, containment) with at least ``least`` of the asking row's shingles, and more than none."""
-    if not len(ask) or not len(have):
+def contained(ask: list[np.ndarray], have: list[np.ndarray], least: float, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(asking, holding, containment): which hold at least ``least`` of an asking record's shingles, and more than none.
+
+    The asking records' shingles are an inverted index. The holding records are scanned
+    for hits, so many at a time that their hits stay near ``most``; hits are then
+    counted by (asking, holding), and only pairs with a hit take any room.
+    """
+    if not ask or not have:
         return
-    size = np.fromiter((len(grams[r]) for r in ask), dtype=np.int64, count=len(ask))
-    keys = np.concatenate([grams[r] for r in ask])
-    owner = np.repeat(np.arange(len(ask)), size)
+    size = np.fromiter(map(len, ask), dtype=np.int64, count=len(ask))
+    keys, owner = np.concatenate(ask), np.repeat(np.arange(len(ask)), size)
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
+    probe = np.concatenate(have)
+    by = np.repeat(np.arange(len(have)), [len(g) for g in have])
+    a, b = np.searchsorted(keys, probe), np.searchsorted(keys, probe, side="right")
+    hits = np.add.reduceat(np.append(b - a, 0), np.searchsorted(by, np.arange(len(have)))) * np.fromiter((len(g) > 0 for g in have), dtype=bool, count=len(have))
+    ends = np.cumsum(hits)
     lo = 0
     while lo < len(have):
-        # As many holding rows at once as keep the table of counts within ``most``.
-        hi = min(len(have), lo + max(1, most // max(1, len(ask))))
-        part = have[lo:hi]
-        probe = np.concatenate([grams[r] for r in part])
-        by = np.repeat(np.arange(len(part)), [len(grams[r]) for r in part])
-        a, b = np.searchsorted(keys, probe), np.searchsorted(keys, probe, side="right")
-        count = np.zeros(len(part) * len(ask), dtype=np.int64)
-        live = np.flatnonzero(b > a)
-        run = (b - a)[live]
-        ends = np.cumsum(run)
-        s = 0
-        while s < len(live):
-            e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + most, side="right")))
-            r = run[s:e]
-            inside = np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r)
-            count += np.bincount(np.repeat(by[live[s:e]], r) * len(ask) + owner[np.repeat(a[live[s:e]], r) + inside], minlength=len(count))
-            s = e
-        table = count.reshape(len(part), len(ask))
-        h, q = np.nonzero((table > 0) & (table >= least * size))
-        yield ask[q], part[h], table[h, q] / size[q]
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        s, e = np.searchsorted(by, [lo, hi])
+        run = (b - a)[s:e]
+        inside = np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
+        pair, count = np.unique(np.repeat(by[s:e], run) * len(ask) + owner[np.repeat(a[s:e], run) + inside], return_counts=True)
+        h, q = pair // len(ask), pair % len(ask)
+        share = count / size[q]
+        keep = count >= least * size[q]
+        yield q[keep], h[keep], share[keep]
         lo = hi
 
 
-def overlaps(records: DataFrame, per: int = 10, least: float = LEAST, n: int = WORDS, cap: int = CAP) -> DataFrame:
+def overlaps(records: DataFrame, per: int = 10, least: float = LEAST, n: int = WORDS, cap: int = near.CAP, sound: bool = True) -> DataFrame:
     """(eval_id, train_id, containment): pairs of one name with likeness >= 1 - 1 / per.
 
     records: as from ``features``. Evaluation shingles are partitioned with the
     training records of their name; names beyond ``cap`` rows of either side are cut
     into chunks that meet pairwise. A training record that holds ``least`` of an
-    evaluation record's shingles is checked exactly. Pairs whose edits touch nearly
-    every shingle come from the trie over parity sketches, whose budget loses none,
-    so the result is exact. Records without any character left have no overlap.
+    evaluation record's shingles is checked exactly. Edits that touch nearly every
+    shingle leave fewer: with ``sound`` such pairs come from the trie over unary codes,
+    whose budget loses none, so the result is exact. Records without any character
+    left have no overlap.
     """
     placed = cells.cross_cells(records, records.select("block", "side"), "block", "side", "id", cap)
 
@@ -105,46 +108,44 @@ def overlaps(records: DataFrame, per: int = 10, least: float = LEAST, n: int = W
             return
         t, code, side = t.filter(pa.array(keep)), code[keep], side[keep]
         whole = t.column("words").combine_chunks().dictionary_encode()
-        words, of = whole.dictionary.to_pylist(), whole.indices.to_numpy()
+        words, of = whole.dictionary.to_pylist(), whole.indices.to_numpy().astype(np.int64)
         texts = ["".join(w.split()) if w.isascii() else w.translate(_ASCII_SPACE) for w in words]
-        grams = [shingles(w, n) for w in words]
-        hist = hamming.histograms(texts)
-        length = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        met: dict[str, int] = {}
+        grams = [shingles(w, met, n) for w in words]
         ids = t.column("id").to_numpy()
-        known: dict[tuple[int, int], bool] = {}
-
-        def verify(i, j):
-            """The pairs of rows that are alike indeed."""
-            a, b = of[i], of[j]
-            keep = hamming.near(hist, a, b, length, per) & (length[a] > 0) & (length[b] > 0)
-            i, j = i[keep], j[keep]
-            good = np.zeros(len(i), dtype=bool)
-            for k, (x, y) in enumerate(zip(of[i].tolist(), of[j].tolist(), strict=True)):
-                if (x, y) not in known:
-                    known[x, y] = x == y or hamming.alike(texts[x], texts[y], per)
-                good[k] = known[x, y]
-            return i[good], j[good]
+        known: dict[tuple[int, int], int] = {}
+        # A text of a side of a cell is one item, however many rows hold it.
+        item, first, back = np.unique((code.astype(np.int64) * 3 + side) * len(words) + of, return_index=True, return_inverse=True)
+        text, root = of[first], item // len(words)
+        order, starts = near.rows_below(back, len(item))
+        seen: set[tuple[int, int]] = set()
 
         def rows_of(i, j):
             share = [_share(grams[x], grams[y]) for x, y in zip(of[i].tolist(), of[j].tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(share, pa.float64())], names=["eval_id", "train_id", "containment"])
 
-        hits: list[np.ndarray] = []
-        bounds = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-        for s, e in zip(bounds, np.append(bounds[1:], len(code)), strict=True):
-            rows = np.arange(s, e)
-            ask, have = rows[side[s:e] == 1], rows[side[s:e] == 2]
-            for i, j, _ in _by_text(grams, of, ask, have, least):
-                hits.append(i * len(code) + j)
-                i, j = verify(i, j)
-                if len(i):
-                    yield rows_of(i, j)
-        hit = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
-        for i, j in hamming.trie_pairs(hamming.sketches(hist)[of], code, side, length[of], per):
-            new = ~np.isin(i * len(code) + j, hit)
-            i, j = verify(i[new], j[new])
-            if len(i):
-                yield rows_of(i, j)
+        for cell in np.unique(code):
+            ask, have = np.flatnonzero(root == cell * 3 + 1), np.flatnonzero(root == cell * 3 + 2)
+            for q, h, _ in contained([grams[text[k]] for k in ask], [grams[text[k]] for k in have], least):
+                good = []
+                for a, b in zip(ask[q].tolist(), have[h].tolist(), strict=True):
+                    x, y = int(text[a]), int(text[b])
+                    size = len(texts[x]) + len(texts[y])
+                    if texts[x] and texts[y] and abs(len(texts[x]) - len(texts[y])) * per <= size and near.distance(texts, x, y, known) * per <= size:
+                        good.append((a, b))
+                if good:
+                    seen.update(good)
+                    pair = np.array(good)
+                    for i, j, _ in near.spread(order, starts, pair[:, 0], pair[:, 1]):
+                        yield rows_of(i, j)
+        if not sound:
+            return
+        length = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        for i, j, _ in near.similar(texts, of, code, side, [], (1, per), [], known):
+            new = (length[of[i]] > 0) & (length[of[j]] > 0)
+            new &= np.fromiter(((a, b) not in seen for a, b in zip(back[i].tolist(), back[j].tolist(), strict=True)), dtype=bool, count=len(i))
+            if new.any():
+                yield rows_of(i[new], j[new])
 
     return cells.map_cells(placed, "block", work, "eval_id long, train_id long, containment double", ["side", "id", "words"])
 
@@ -156,21 +157,6 @@ def _share(ask: np.ndarray, have: np.ndarray) -> float:
 _ASCII_SPACE = dict.fromkeys(map(ord, " \t\n\r\x0b\x0c"))
 
 
-def _by_text(grams, of, ask, have, least):
-    """``contained`` over distinct texts, spread to the rows that hold them."""
-    ua, ia = np.unique(of[ask], return_inverse=True)
-    ub, ib = np.unique(of[have], return_inverse=True)
-    oa, ob = np.argsort(ia, kind="stable"), np.argsort(ib, kind="stable")
-    sa, sb = np.searchsorted(ia[oa], np.arange(len(ua) + 1)), np.searchsorted(ib[ob], np.arange(len(ub) + 1))
-    for x, y, share in contained(grams, ua, ub, least):
-        p, q = np.searchsorted(ua, x), np.searchsorted(ub, y)
-        na, nb = sa[p + 1] - sa[p], sb[q + 1] - sb[q]
-        total = na * nb
-        at = np.repeat(np.arange(len(p)), total)
-        inside = np.arange(len(at)) - np.repeat(np.cumsum(total) - total, total)
-        yield ask[oa[sa[p][at] + inside // nb[at]]], have[ob[sb[q][at] + inside % nb[at]]], share[at]
-
-
 def report(records: DataFrame, found: DataFrame, sources: DataFrame) -> DataFrame:
     """Per split and source: evaluation records, those with an overlap, the overlaps.
 

@@ -1,19 +1,14 @@
-"""Near-duplicate records with small edits: binary-trie self-join over parity sketches."""
+"""Near-duplicate records with small edits: binary-trie self-join over unary codes of the texts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nameforge.functions.names import name_of
-from nameforge.llm import cells, hamming
-
-#: Rows of a block per hash chunk; a cell holds about twice as many at most.
-CAP = 2000
+from nameforge.operators import near
+from nameforge.operators.cells import squeeze
+from nameforge.session import checkpoint
 
 
 def features(df: DataFrame, id_col: str = "func_id", name: str = "funname_aligned", code: str = "norm_code", index: str = "index", skip: tuple[str, ...] = ("main",)) -> DataFrame:
@@ -31,7 +26,7 @@ def features(df: DataFrame, id_col: str = "func_id", name: str = "funname_aligne
             F.col(id_col).alias("id"),
             F.concat_ws("\x01", named, F.col(index)["arg_count"].cast("string"), trimmed).alias("block"),
             F.col(index)["loc"].cast("long").alias("loc"),
-            cells.squeeze(F.col(code)).alias("text"),
+            squeeze(F.col(code)).alias("text"),
             named.alias("_n"),
             (F.col(index)["arg_count"].isNotNull() & trimmed.isNotNull()).alias("_ok"),
         )
@@ -40,72 +35,43 @@ def features(df: DataFrame, id_col: str = "func_id", name: str = "funname_aligne
     )
 
 
-def pairs(records: DataFrame, per: int = 10, band: tuple[int, int] = (3, 10), cap: int = CAP, keys: DataFrame | None = None) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: records of one block with likeness >= 1 - 1 / per.
+def keys(df: DataFrame, name: str = "funname_aligned", index: str = "index") -> DataFrame:
+    """(block, loc) of every row that may be in ``features``: what counting blocks needs, without reading any code."""
+    return features(df.select(F.lit(0).alias("func_id"), name, index, F.lit("x").alias("norm_code")), name=name, index=index).select("block", "loc")
 
-    records: as from ``features``; ids unique. loc values differ by at most
-    band[0] / band[1] of the larger. Likeness is 1 - d / (la + lb), d insertions and
-    deletions of single characters over whole texts. The trie prunes at the
-    provable budget and what is left is checked exactly, so the result is exact.
-    Repeated texts are checked once per cell. An empty input gives no rows.
-    """
-    up, down = band
-    placed = cells.self_cells(records, (keys if keys is not None else records).select("block"), "block", "id", cap)
 
-    def work(t: pa.Table, code: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # A lone row has no partner.
-        sizes = np.bincount(code)
-        keep = sizes[code] > 1
-        if not keep.any():
-            return
-        t, code = t.filter(pa.array(keep)), code[keep]
-        whole = t.column("text").combine_chunks().dictionary_encode()
-        texts, of = whole.dictionary.to_pylist(), whole.indices.to_numpy()
-        hist = hamming.histograms(texts)
-        sketch = hamming.sketches(hist)
-        length = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        ids, loc, side = (t.column(c).to_numpy() for c in ("id", "loc", "side"))
-        known: dict[tuple[int, int], bool] = {}
-        for i, j in hamming.trie_pairs(sketch[of], code, side, length[of], per):
-            a, b = of[i], of[j]
-            keep = down * np.abs(loc[i] - loc[j]) <= up * np.maximum(loc[i], loc[j])
-            keep &= per * np.abs(length[a] - length[b]) <= length[a] + length[b]
-            i, j, a, b = i[keep], j[keep], a[keep], b[keep]
-            keep = hamming.near(hist, a, b, length, per)
-            i, j, a, b = i[keep], j[keep], a[keep], b[keep]
-            good = np.zeros(len(i), dtype=bool)
-            for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-                if x == y:
-                    good[k] = True
-                    continue
-                at = (x, y) if x < y else (y, x)
-                if at not in known:
-                    known[at] = hamming.alike(texts[x], texts[y], per)
-                good[k] = known[at]
-            if good.any():
-                x, y = ids[i[good]], ids[j[good]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["id_a", "id_b"])
+def pairs(records: DataFrame, counted: DataFrame | None = None, per: int = 10, band: tuple[int, int] = (3, 10), cap: int = near.CAP) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: records of one block with likeness >= 1 - 1 / per.
 
-    return cells.map_cells(placed, "block", work, "id_a long, id_b long", ["side", "id", "loc", "text"])
+    records: as from ``features``; ids unique. counted: (block, loc) of them, or of more
+    rows, where that is cheaper to read. loc values differ by at most band[0] / band[1] of the larger. Likeness is
+    1 - d / (la + lb), d insertions and deletions of single characters over whole
+    texts. The trie prunes at the provable budget and what is left is checked exactly,
+    so the result is exact. Equal texts of a cell are one leaf and checked once. An
+    empty input gives no rows.
+    """
+    return near.pairs(records, records.select("block", "loc") if counted is None else counted, (1, per), ["loc"], [band], cap).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
-def links(records: DataFrame, per: int = 10, band: tuple[int, int] = (3, 10), cap: int = CAP) -> DataFrame:
+def links(records: DataFrame, counted: DataFrame | None = None, per: int = 10, band: tuple[int, int] = (3, 10), cap: int = near.CAP) -> DataFrame:
     """One row per record: (id, class_id, copies, links).
 
     Records of equal block, text and loc form a class, named by its smallest id;
     only one of each class goes through the join, so copies cost nothing there.
     links: number of other records that are near-duplicates of it, copies included.
     """
-    hashed = records.withColumn("_h", F.md5(F.concat_ws("\x02", "block", F.col("loc").cast("string"), "text")))
-    classes = hashed.groupBy("_h").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
-    first = hashed.join(classes, "_h").where(F.col("id") == F.col("class_id")).select("id", "block", "loc", "text")
-    found = pairs(first, per, band, cap)
+    # Classes are made by two hashes of 64 bits; texts travel once, with the first record of each class.
+    hashed = records.withColumns({"_h": F.xxhash64(F.lit(1), "block", "loc", "text"), "_g": F.xxhash64(F.lit(2), "text", "loc", "block")})
+    classes = checkpoint(hashed.groupBy("_h", "_g").agg(F.min_by(F.struct("id", "block", "loc", "text"), "id").alias("r"), F.count("*").alias("copies")))
+    first = classes.select("r.*")
+    found = pairs(first, counted, per, band, cap)
     both = found.select(F.col("id_a").alias("class_id"), F.col("id_b").alias("other")).unionByName(found.select(F.col("id_b").alias("class_id"), F.col("id_a").alias("other")))
-    size = classes.select(F.col("class_id").alias("other"), F.col("copies").alias("_m"))
-    near = both.join(size, "other").groupBy("class_id").agg(F.sum("_m").alias("_near"))
+    size = classes.select(F.col("r.id").alias("other"), F.col("copies").alias("_m"))
+    around = both.join(size, "other").groupBy("class_id").agg(F.sum("_m").alias("_near"))
+    known = classes.select("_h", "_g", F.col("r.id").alias("class_id"), "copies")
     return (
-        hashed.select("id", "_h")
-        .join(classes, "_h")
-        .join(near, "class_id", "left")
+        hashed.select("id", "_h", "_g")
+        .join(known, ["_h", "_g"])
+        .join(around, "class_id", "left")
         .select("id", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("_near", F.lit(0))).alias("links"))
     )

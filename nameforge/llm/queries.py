@@ -16,12 +16,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.pairs(neardup.features(table(spark, folder, "functions_norm")))
+    functions = table(spark, folder, "functions_norm")
+    return neardup.pairs(neardup.features(functions), neardup.keys(functions))
 
 
 def p1_links(spark: SparkSession, folder: str) -> DataFrame:
-    out = neardup.links(neardup.features(table(spark, folder, "functions_norm")))
-    return out.withColumnRenamed("id", "func_id")
+    functions = table(spark, folder, "functions_norm")
+    return neardup.links(neardup.features(functions), neardup.keys(functions)).withColumnRenamed("id", "func_id")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

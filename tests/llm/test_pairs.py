@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from nameforge.llm import cells, hamming, layout, leakage, lookalike, neardup
+from nameforge.llm import layout, leakage, lookalike, neardup
+from nameforge.operators import cells
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 INDEX = "struct<arg_count int, return_type string, loc int, full_loc int>"
@@ -43,47 +44,6 @@ def _dp(a, b):
     return row[-1]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text("abcdé𝄞", max_size=30), st.text("abcdé𝄞", max_size=30))
-def test_common(a, b):
-    assert hamming.common(a, b) == _dp(a, b)
-    assert hamming.common(list(a), list(b)) == _dp(a, b)
-
-
-@settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60), st.text(max_size=60))
-def test_sketches_keep_the_budget(a, b):
-    h = hamming.histograms([a, b])
-    s = hamming.sketches(h)
-    d = len(a) + len(b) - 2 * hamming.common(a, b)
-    assert np.bitwise_count(s[0] ^ s[1]).sum() <= d
-    assert np.abs(h[0] - h[1]).sum() <= d
-
-
-def test_trie_is_the_nested_loop():
-    rng = np.random.default_rng(2)
-    n = 300
-    base = rng.integers(0, 2**63, size=(8, 4), dtype=np.uint64)
-    words = base[rng.integers(0, 8, n)].copy()
-    for r in range(n):
-        for _ in range(rng.integers(0, 12)):
-            words[r, rng.integers(0, 4)] ^= np.uint64(1) << np.uint64(rng.integers(0, 63))
-    cell = rng.integers(0, 5, n)
-    side = np.where(cell == 3, rng.integers(1, 3, n), np.where(cell == 4, 1, 0))
-    length = rng.integers(40, 80, n)
-    for most in (1 << 19, 50):
-        got = Counter()
-        for i, j in hamming.trie_pairs(words, cell, side, length, 10, most):
-            got.update((min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True))
-        want = Counter()
-        for i in range(n):
-            for j in range(i):
-                if cell[i] == cell[j] and ((side[i] == 0 and side[j] == 0) or {side[i], side[j]} == {1, 2}):
-                    if 10 * int(np.bitwise_count(words[i] ^ words[j]).sum()) <= length[i] + length[j] and 10 * abs(length[i] - length[j]) <= length[i] + length[j]:
-                        want[j, i] += 1
-        assert got == want and max(want.values()) == 1
-
-
 def _functions(rng, n=220):
     seeds = [_text(rng) for _ in range(10)]
     rows = []
@@ -111,10 +71,10 @@ def _p1(rows):
 def test_near_duplicates(spark, cap):
     rows = _functions(random.Random(4))
     df = spark.createDataFrame(rows, f"func_id long, funname_aligned map<string,string>, norm_code string, index {INDEX}").withColumn("text", F.lit("x")).withColumn("block", F.lit(1)).repartition(5)
-    found = [tuple(r) for r in neardup.pairs(neardup.features(df), cap=cap).collect()]
+    found = [tuple(r) for r in neardup.pairs(neardup.features(df), neardup.keys(df), cap=cap).collect()]
     want = _p1(rows)
     assert len(found) == len(set(found)) and set(found) == want and want
-    links = neardup.links(neardup.features(df), cap=cap).collect()
+    links = neardup.links(neardup.features(df), neardup.keys(df), cap=cap).collect()
     count = Counter(x for p in want for x in p)
     assert {r["id"]: r["links"] for r in links} == {r["id"]: count[r["id"]] for r in links}
     assert len({r["id"] for r in links}) == len(links)
@@ -156,6 +116,24 @@ def test_overlaps(spark, cap):
     rep = leakage.report(recs, leakage.overlaps(recs, cap=cap), sources).collect()
     assert sum(r["overlaps"] for r in rep) == len(want) and sum(r["records"] for r in rep) == sum(r[2] == 0 for r in rows)
     assert leakage.overlaps(leakage.features(df.where("false"))).count() == 0
+    hits = {(r["eval_id"], r["train_id"]): r["containment"] for r in leakage.overlaps(recs, cap=cap, sound=False).collect()}
+    assert hits.keys() <= want and hits == {(r["eval_id"], r["train_id"]): r["containment"] for r in got if r["containment"] >= leakage.LEAST}
+
+
+def test_shingles_are_the_same_in_every_process():
+    known = {}
+    assert leakage.shingles("a b c d e f", known).tolist() == leakage.shingles("a b c d e f", {}).tolist()
+    assert len(leakage.shingles("a b c d e f", known)) == 2 and len(leakage.shingles("a b", known)) == 1 and len(leakage.shingles(" ", known)) == 0
+    assert leakage.shingles("a b c d e", {})[0] == 16147818580917457420
+
+
+def test_containment_is_the_nested_loop():
+    rng = np.random.default_rng(4)
+    ask, have = ([np.unique(rng.integers(0, 40, rng.integers(0, 12)).astype(np.uint64)) for _ in range(n)] for n in (25, 30))
+    for most in (1 << 20, 5):
+        got = {(int(q), int(h)): float(s) for a, b, c in leakage.contained(ask, have, 0.3, most) for q, h, s in zip(a, b, c)}
+        want = {(i, j): len(np.intersect1d(x, y)) / len(x) for i, x in enumerate(ask) for j, y in enumerate(have) if len(x) and 0 < len(np.intersect1d(x, y)) >= 0.3 * len(x)}
+        assert got == want
 
 
 def test_cells_meet_once(spark):
@@ -166,14 +144,6 @@ def test_cells_meet_once(spark):
         at[r["cell_i"], r["cell_j"]][r["side"] - 1].append(r["id"])
     pairs = Counter((a, b) for x, y in at.values() for a in x for b in y)
     assert len(pairs) == 30 * 60 and max(pairs.values()) == 1
-    own = cells.self_cells(df.drop("side"), df, "block", "id", 7).collect()
-    at = defaultdict(list)
-    for r in own:
-        at[r["cell_i"], r["cell_j"]].append((r["id"], r["side"]))
-    pairs = Counter()
-    for v in at.values():
-        pairs.update((min(a, b), max(a, b)) for k, (a, x) in enumerate(v) for b, y in v[:k] if x == 0 or x != y)
-    assert len(pairs) == 90 * 89 // 2 and max(pairs.values()) == 1
 
 
 def test_layout_copies(spark):
