@@ -17,7 +17,7 @@ from nameforge.operators import cells, near
 #: Words per shingle.
 WORDS = 5
 #: Least share of an evaluation record's shingles that a training record must hold to be checked.
-LEAST = 0.1
+LEAST = 0.05
 
 _WORD = re.compile(r"[^\W_]\w*|_\w*")
 
@@ -44,8 +44,9 @@ def shingles(text: str, known: dict[str, int], n: int = WORDS) -> np.ndarray:
     words = _WORD.findall(text)
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    for w in set(words) - known.keys():
-        known[w] = xxhash.xxh64_intdigest(w)
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
     h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     n = min(n, len(h))
     out = np.zeros(len(h) - n + 1, dtype=np.uint64)
@@ -79,15 +80,21 @@ def contained(ask: list[np.ndarray], have: list[np.ndarray], least: float, most:
         s, e = np.searchsorted(by, [lo, hi])
         run = (b - a)[s:e]
         inside = np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
-        pair, count = np.unique(np.repeat(by[s:e], run) * len(ask) + owner[np.repeat(a[s:e], run) + inside], return_counts=True)
-        h, q = pair // len(ask), pair % len(ask)
+        code = np.repeat(by[s:e] - lo, run) * len(ask) + owner[np.repeat(a[s:e], run) + inside]
+        if (hi - lo) * len(ask) <= 4 * len(code):  # no more places than hits: counted in place, else by sorting
+            count = np.bincount(code)
+            pair = np.flatnonzero(count)
+            count = count[pair]
+        else:
+            pair, count = np.unique(code, return_counts=True)
+        h, q = lo + pair // len(ask), pair % len(ask)
         share = count / size[q]
         keep = count >= least * size[q]
         yield q[keep], h[keep], share[keep]
         lo = hi
 
 
-def overlaps(records: DataFrame, per: int = 10, least: float = LEAST, n: int = WORDS, cap: int = near.CAP, sound: bool = True) -> DataFrame:
+def overlaps(records: DataFrame, per: int = 10, least: float = LEAST, n: int = WORDS, cap: int = near.CAP, sound: bool = False) -> DataFrame:
     """(eval_id, train_id, containment): pairs of one name with likeness >= 1 - 1 / per.
 
     records: as from ``features``. Evaluation shingles are partitioned with the
@@ -95,8 +102,8 @@ def overlaps(records: DataFrame, per: int = 10, least: float = LEAST, n: int = W
     into chunks that meet pairwise. A training record that holds ``least`` of an
     evaluation record's shingles is checked exactly. Edits that touch nearly every
     shingle leave fewer: with ``sound`` such pairs come from the trie over unary codes,
-    whose budget loses none, so the result is exact. Records without any character
-    left have no overlap.
+    whose budget loses none, and the result is exact (README has the recall without).
+    Records without any character left have no overlap.
     """
     placed = cells.cross_cells(records, records.select("block", "side"), "block", "side", "id", cap)
 
@@ -112,6 +119,7 @@ def overlaps(records: DataFrame, per: int = 10, least: float = LEAST, n: int = W
         texts = ["".join(w.split()) if w.isascii() else w.translate(_ASCII_SPACE) for w in words]
         met: dict[str, int] = {}
         grams = [shingles(w, met, n) for w in words]
+        length = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         ids = t.column("id").to_numpy()
         known: dict[tuple[int, int], int] = {}
         # A text of a side of a cell is one item, however many rows hold it.
@@ -124,23 +132,21 @@ def overlaps(records: DataFrame, per: int = 10, least: float = LEAST, n: int = W
             share = [_share(grams[x], grams[y]) for x, y in zip(of[i].tolist(), of[j].tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(share, pa.float64())], names=["eval_id", "train_id", "containment"])
 
-        for cell in np.unique(code):
-            ask, have = np.flatnonzero(root == cell * 3 + 1), np.flatnonzero(root == cell * 3 + 2)
-            for q, h, _ in contained([grams[text[k]] for k in ask], [grams[text[k]] for k in have], least):
-                good = []
-                for a, b in zip(ask[q].tolist(), have[h].tolist(), strict=True):
-                    x, y = int(text[a]), int(text[b])
-                    size = len(texts[x]) + len(texts[y])
-                    if texts[x] and texts[y] and abs(len(texts[x]) - len(texts[y])) * per <= size and near.distance(texts, x, y, known) * per <= size:
-                        good.append((a, b))
-                if good:
-                    seen.update(good)
-                    pair = np.array(good)
-                    for i, j, _ in near.spread(order, starts, pair[:, 0], pair[:, 1]):
-                        yield rows_of(i, j)
+        # All cells are searched at once: a cell's number goes into its shingles.
+        mine = [grams[x] ^ mixed for x, mixed in zip(text, (root // 3).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), strict=True)]
+        ask, have = np.flatnonzero(root % 3 == 1), np.flatnonzero(root % 3 == 2)
+        for q, h, _ in contained([mine[k] for k in ask], [mine[k] for k in have], least):
+            a, b = ask[q], have[h]
+            x, y = text[a], text[b]
+            keep = (root[a] + 1 == root[b]) & (length[x] > 0) & (length[y] > 0) & (np.abs(length[x] - length[y]) * per <= length[x] + length[y])
+            a, b = a[keep], b[keep]
+            good = [near.distance(texts, x, y, known) * per <= len(texts[x]) + len(texts[y]) for x, y in zip(text[a].tolist(), text[b].tolist(), strict=True)]
+            a, b = a[good], b[good]
+            seen.update(zip(a.tolist(), b.tolist(), strict=True))
+            for i, j, _ in near.spread(order, starts, a, b):
+                yield rows_of(i, j)
         if not sound:
             return
-        length = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         for i, j, _ in near.similar(texts, of, code, side, [], (1, per), [], known):
             new = (length[of[i]] > 0) & (length[of[j]] > 0)
             new &= np.fromiter(((a, b) not in seen for a, b in zip(back[i].tolist(), back[j].tolist(), strict=True)), dtype=bool, count=len(i))

@@ -106,17 +106,17 @@ def test_overlaps(spark, cap):
     rows = _tests(random.Random(5))
     df = spark.createDataFrame(rows, "test_id long, funname_aligned map<string,string>, in_train int, code string, eval_set string, proj string").withColumn("side", F.lit("x")).repartition(4)
     recs = leakage.features(df)
-    got = leakage.overlaps(recs, cap=cap).collect()
+    got = leakage.overlaps(recs, cap=cap, sound=True).collect()
     ok = [(i, _name(m), s, re.sub(r"[ \t\n\r\x0b\x0c]", "", re.sub(r"//[^\r\n]*", "", re.sub(r"(?s)/\*.*?\*/", "", c))).lower()) for i, m, s, c, *_ in rows if c is not None and _name(m) and s is not None]
     want = {(a[0], b[0]) for a in ok for b in ok if a[2] == 0 and b[2] == 1 and a[1] == b[1] and a[3] and b[3] and 10 * (len(a[3]) + len(b[3]) - 2 * _dp(a[3], b[3])) <= len(a[3]) + len(b[3])}
     assert len(got) == len({(r["eval_id"], r["train_id"]) for r in got})
     assert {(r["eval_id"], r["train_id"]) for r in got} == want and want
     assert all(0 <= r["containment"] <= 1 for r in got)
     sources = df.where("in_train = 0").select(F.col("test_id").alias("id"), "eval_set", F.col("proj").alias("source"))
-    rep = leakage.report(recs, leakage.overlaps(recs, cap=cap), sources).collect()
+    rep = leakage.report(recs, leakage.overlaps(recs, cap=cap, sound=True), sources).collect()
     assert sum(r["overlaps"] for r in rep) == len(want) and sum(r["records"] for r in rep) == sum(r[2] == 0 for r in rows)
     assert leakage.overlaps(leakage.features(df.where("false"))).count() == 0
-    hits = {(r["eval_id"], r["train_id"]): r["containment"] for r in leakage.overlaps(recs, cap=cap, sound=False).collect()}
+    hits = {(r["eval_id"], r["train_id"]): r["containment"] for r in leakage.overlaps(recs, cap=cap).collect()}
     assert hits.keys() <= want and hits == {(r["eval_id"], r["train_id"]): r["containment"] for r in got if r["containment"] >= leakage.LEAST}
 
 
