@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -81,6 +82,12 @@ class Scratch:
         out._nameforge_path = path  # for drop()
         return out
 
+    def write_counting(self, df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+        """The written table and how many of its rows meet a condition, counted while they are written."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count_if(condition).alias("n")))
+        return out, seen.get["n"]
+
     def drop(self, df: DataFrame) -> None:
         """Removes a table that nothing reads any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._nameforge_path)
