@@ -76,7 +76,7 @@ def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
     placed, _ = _split(spark, folder)
     counted = placed.groupBy(F.col("split").alias("split_name")).agg(F.count("*").alias("records"), F.count_if(F.col("id") == F.col("first_id")).alias("components"))
     total = F.sum("records").over(Window.partitionBy())
-    return table(spark, folder, "split_targets").join(counted, "split_name", "left").select("split_name", "target_share", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("components", F.lit(0)).alias("components"), (F.col("records") / total).alias("actual_share"))
+    return table(spark, folder, "split_targets").join(counted, "split_name", "left").select("split_name", "target_share", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("components", F.lit(0)).alias("components"), F.coalesce(F.col("records") / total, F.lit(0.0)).alias("actual_share"))
 
 
 def _layouts(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from nameforge.functions.names import WHITE
 from nameforge.session import Scratch, checkpoint
 
-#: Components placed one by one, largest first; the rest, each no larger than these, are placed by cumulative weight.
-LARGEST = 200
+#: Rounds whose mappings are unwound in one plan.
+UNWIND = 8
 
 
 def tie_key(value: Column, path: bool = False) -> Column:
@@ -26,44 +26,51 @@ def tie_key(value: Column, path: bool = False) -> Column:
 def contract(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(v, root) of every vertex that an edge (a, b) touches: vertices of one component share a root.
 
-    Each round every vertex tosses a coin by hash; a vertex with tails collapses into
-    its smallest neighbour with heads, edges are renamed and made distinct, until
-    none is left. The mappings of the rounds are then unwound backwards. All state
-    is in tables in the shared folder; nothing is held by the driver.
+    First every vertex with a single neighbour collapses into it. Then in each round
+    every vertex tosses a coin by hash; a vertex with tails collapses into its
+    smallest neighbour with heads, edges are renamed and made distinct, until none is
+    left. A round writes one table to the shared folder, its edges with the vertices
+    they collapse into; the number of edges left comes from that same write. The
+    mappings are unwound backwards, each no larger than the one before. Nothing is held
+    by the driver but the number of edges left.
     """
     scratch = Scratch(edges.sparkSession)
-
-    def distinct(e: DataFrame) -> DataFrame:
-        return scratch.write(e.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    edges = distinct(edges)
-    vertices = scratch.write(edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).distinct())
+    left = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     done: list[DataFrame] = []
-    while not edges.isEmpty():
-        if len(done) == rounds:
+    count = 1
+    while count:
+        if len(done) > rounds:
             raise RuntimeError(f"edges are left after {rounds} rounds")
+        now = left.distinct()
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        if not done:
+            into = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p"), F.count("*").alias("n")).where("n = 1")
+            # Of two vertices that have only each other the smaller stays.
+            pair = into.select(F.col("v").alias("p"), F.col("p").alias("v"), F.lit(True).alias("mutual"))
+            into = into.join(pair, ["v", "p"], "left").where("mutual IS NULL OR p < v").select("v", "p")
+        else:
+
+            def heads(c: str, at: int = len(done)) -> Column:
+                return F.pmod(F.xxhash64(F.lit(at), F.col(c)), F.lit(2)) == 1
+
+            into = both.where(~heads("a") & heads("b")).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p"))
+        for c in ("a", "b"):
+            now = now.join(into.select(F.col("v").alias(c), F.col("p").alias(f"p{c}")), c, "left")
+        table, count = scratch.write_counting(now.select("a", "b", F.coalesce("pa", "a").alias("pa"), F.coalesce("pb", "b").alias("pb")), F.col("pa") != F.col("pb"))
+        done.append(table)
+        left = table.where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
 
-        def heads(c: str, at: int = len(done)) -> Column:
-            return F.pmod(F.xxhash64(F.lit(at), F.col(c)), F.lit(2)) == 1
+    def ends(t: DataFrame) -> DataFrame:
+        """(v, p): what each vertex of a round became."""
+        return t.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("pa").alias("p")), F.struct(F.col("b").alias("v"), F.col("pb").alias("p")))).alias("e")).select("e.v", "e.p").distinct()
 
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        into = scratch.write(both.where(~heads("a") & heads("b")).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")))
-        done.append(into)
-        renamed = edges
-        for c in ("a", "b"):
-            renamed = renamed.join(into.withColumnRenamed("v", c), c, "left").withColumn(c, F.coalesce("p", c)).drop("p")
-        before, edges = edges, distinct(renamed)
-        scratch.drop(before)
-    roots: DataFrame | None = None
-    for into in reversed(done):
-        if roots is None:
-            roots = into.select("v", F.col("p").alias("root"))
-            continue
-        later = roots.select(F.col("v").alias("p"), "root")
-        roots = scratch.write(into.join(later, "p", "left").select("v", F.coalesce("root", "p").alias("root")).unionByName(roots))
-    if roots is None:
-        return vertices.select("v", F.col("v").alias("root"))
-    return vertices.join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root"))
+    roots = ends(done[-1]).select("v", F.col("p").alias("root"))
+    for k, t in enumerate(reversed(done[:-1]), 1):
+        # A vertex that the next round does not know has lost its last edge: what it became is its root.
+        roots = ends(t).join(roots.select(F.col("v").alias("p"), "root"), "p", "left").select("v", F.coalesce("root", "p").alias("root"))
+        if k % UNWIND == 0:
+            roots = scratch.write(roots)
+    return roots
 
 
 def components(df: DataFrame, id_col: str, keys: list[Column]) -> DataFrame:
@@ -93,37 +100,28 @@ def components(df: DataFrame, id_col: str, keys: list[Column]) -> DataFrame:
     return out
 
 
-def assign(groups: DataFrame, targets: list[tuple[str, float]], largest: int = LARGEST) -> DataFrame:
+def assign(groups: DataFrame, targets: list[tuple[str, float]], pieces: int = 64) -> DataFrame:
     """(first_id, split): components (first_id, size) over splits with target shares of the total size.
 
-    The ``largest`` components go one by one to the split that lacks most; the rest
-    line up in hash order and are cut where their cumulative weight fills what each
-    split still lacks. Shares are normalised; no target gives an error.
+    All components line up by size, largest first, and are cut where their cumulative
+    weight reaches the shares, that of the largest share first; a component stands at
+    the middle of its weight. So the cuts fall among small components, and the shares
+    are met to about the size of one, unless a single component is larger than the
+    first share. The largest components are therefore all in the split with the largest
+    share. Shares are normalised; no target gives an error.
     """
     if not targets:
         raise ValueError("no split to assign to")
-    total = groups.agg(F.sum("size")).first()[0] or 0
     scale = sum(w for _, w in targets) or 1
-    lack = {name: total * w / scale for name, w in targets}
-    big = groups.orderBy(F.desc("size"), "first_id").limit(largest).collect()
-    fixed = []
-    for r in big:
-        name = max(lack, key=lambda k: lack[k])
-        lack[name] -= r["size"]
-        fixed.append((r["first_id"], name))
-    spark = groups.sparkSession
-    placed = spark.createDataFrame(fixed, "first_id long, split string")
-    rest = groups.join(F.broadcast(placed.select("first_id")), "first_id", "left_anti").withColumn("h", F.xxhash64(F.lit(5), "first_id")).withColumn("bucket", F.pmod("h", F.lit(1024)))
-    sums = rest.groupBy("bucket").agg(F.sum("size").alias("w")).withColumn("before", F.sum("w").over(Window.orderBy("bucket")) - F.col("w"))
-    inside = F.sum("size").over(Window.partitionBy("bucket").orderBy("h", "first_id"))
-    # A component stands at the middle of its weight.
-    at = rest.withColumn("inside", inside).join(F.broadcast(sums.select("bucket", "before")), "bucket").withColumn("at", F.col("before") + F.col("inside") - F.col("size") / 2)
-    left = sum(r for r in lack.values() if r > 0)
-    weight = total - sum(r["size"] for r in big)
+    # The running weight in two steps: over (size, hash piece), then inside each of them.
+    line = groups.withColumn("h", F.xxhash64(F.lit(5), "first_id")).withColumn("piece", F.pmod("h", F.lit(pieces)))
+    order = Window.orderBy(F.desc("size"), "piece")
+    sums = line.groupBy("size", "piece").agg(F.sum("size").alias("w")).withColumn("before", F.sum("w").over(order) - F.col("w")).withColumn("all", F.sum("w").over(Window.partitionBy()))
+    inside = F.row_number().over(Window.partitionBy("size", "piece").orderBy("h", "first_id"))
+    at = line.withColumn("k", inside).join(sums, ["size", "piece"]).withColumn("at", (F.col("before") + (F.col("k") - 0.5) * F.col("size")) / F.col("all"))
     split, bound = F.lit(None).cast("string"), 0.0
-    names = [k for k in lack if lack[k] > 0] or list(lack)[:1]
-    for name in names[:-1]:
-        bound += weight * lack[name] / left
+    names = sorted(targets, key=lambda t: (-t[1], t[0]))
+    for name, share in names[:-1]:
+        bound += share / scale
         split = F.coalesce(split, F.when(F.col("at") < bound, F.lit(name)))
-    split = F.coalesce(split, F.lit(names[-1]))
-    return placed.unionByName(at.select("first_id", split.alias("split")))
+    return at.select("first_id", F.coalesce(split, F.lit(names[-1][0])).alias("split"))
