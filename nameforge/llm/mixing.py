@@ -34,15 +34,21 @@ def plan(available: dict[str, int], targets: dict[str, tuple[float, int]], total
     return {s: tokens[s] / available[s] if available.get(s) else 0.0 for s in targets}
 
 
-def mix(sized: DataFrame, targets: list[tuple[str, float, int]], share: float = 0.25, seed: int = 7, buckets: int = 1024, offsets: int = 64) -> DataFrame:
+#: Size classes to a doubling of the size; hash pieces of a class.
+STEPS, PIECES = 16, 64
+
+
+def mix(sized: DataFrame, targets: list[tuple[str, float, int]], share: float = 0.25, seed: int = 7, steps: int = STEPS, pieces: int = PIECES) -> DataFrame:
     """(doc_id, source, n_tokens, copy): the sampled collection, one row per use of a text.
 
     sized: doc_id, source, n_tokens, digest (of the text) of the whole corpus. The
     collection has ``share`` of the corpus's tokens. Equal texts count as one text,
     that of the smallest doc_id within the sources to mix. Texts of a source stand in
-    hash order; the running sum of their expected copies plus one random offset
-    emits a copy at each whole number it passes, so long and short texts are drawn
-    alike and a text comes at most ceil(expected) <= max_repeat times. targets is a
+    order of their size (to 1 / steps of a doubling), by hash within it; the running
+    sum of their expected copies plus one random offset, drawn from the seed, emits a
+    copy at each whole number it passes. So every text of a source is drawn with the
+    same chance, all sizes in proportion, and at most ceil(expected) <= max_repeat
+    times; the tokens of a source miss its target by about its largest text. targets is a
     small parameter list; null or unlisted sources only count to the corpus.
     """
     sized = checkpoint(sized)
@@ -51,25 +57,19 @@ def mix(sized: DataFrame, targets: list[tuple[str, float, int]], share: float =
     scale = sum(w for w, _ in wanted.values()) or 1.0
     wanted = {s: (w / scale, m) for s, (w, m) in wanted.items()}
     texts = sized.where(F.col("source").isin(*wanted)).groupBy("digest").agg(F.min_by(F.struct("doc_id", "source", "n_tokens"), "doc_id").alias("t")).select("t.*").where("n_tokens > 0")
-    texts = checkpoint(texts.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)).cast("int")))
-    available = {r["source"]: r["n"] for r in texts.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # one row per listed source
+    texts = checkpoint(texts.withColumn("c", F.floor(F.log2("n_tokens") * steps).cast("int")).withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(pieces)).cast("int")))
+    sums = texts.groupBy("source", "c", "b").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n"))
+    available = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # one row per listed source
     copies = plan(available, wanted, share * total)
-    # Rank in hash order in two steps: bucket counts are summed up within the source, then each bucket is numbered.
-    starts = texts.groupBy("source", "b").agg(F.count("*").alias("k")).withColumn("before", F.sum("k").over(Window.partitionBy("source").orderBy("b")) - F.col("k")).drop("k")
-    inside = F.row_number().over(Window.partitionBy("source", "b").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id"))
-    ranked = texts.withColumn("inside", inside).join(starts, ["source", "b"]).withColumn("rank", F.col("before") + F.col("inside"))
-    ranked = checkpoint(ranked.select("doc_id", "source", "n_tokens", "rank"))
+    # The rank in two steps: counts of (class, piece) are summed up within the source, then each of them is numbered.
+    starts = sums.withColumn("before", F.sum("k").over(Window.partitionBy("source").orderBy("c", "b")) - F.col("k")).select("source", "c", "b", "before")
+    inside = F.row_number().over(Window.partitionBy("source", "c", "b").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id"))
+    ranked = texts.withColumn("inside", inside).join(starts, ["source", "c", "b"]).withColumn("rank", F.col("before") + F.col("inside"))
     most = _by_source({s: m for s, (_, m) in wanted.items()})
     rate = _by_source(copies)
-
-    def times(offset: Column) -> Column:
-        return F.least((F.floor(offset + rate * F.col("rank")) - F.floor(offset + rate * (F.col("rank") - 1))).cast("int"), most)
-
-    # Of some random offsets each source takes the one that meets its tokens best: a few very long texts would else decide.
-    draws = [random.Random(f"{seed} {k}").random() for k in range(offsets)]
-    sums = ranked.groupBy("source").agg(*(F.sum(F.col("n_tokens") * times(F.lit(d))).alias(f"s{k}") for k, d in enumerate(draws))).collect()  # one row per listed source
-    best = {r["source"]: draws[min(range(offsets), key=lambda k: abs(r[f"s{k}"] - copies[r["source"]] * available[r["source"]]))] for r in sums}
-    return ranked.withColumn("times", times(_by_source(best))).where("times > 0").select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    offset = F.lit(random.Random(seed).random())
+    times = F.least((F.floor(offset + rate * F.col("rank")) - F.floor(offset + rate * (F.col("rank") - 1))).cast("int"), most)
+    return ranked.withColumn("times", times).where("times > 0").select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
 
 
 def _by_source(values: dict[str, float]) -> Column:
