@@ -20,11 +20,26 @@ from pyspark.sql import functions as F
 from nameforge.session import checkpoint
 
 # Letters that look like Latin ones, by script.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеорсухіјѕһԁԛԝЁёЇї", "ABESIJKMHOPCTYXaeopcyxijshdqwËëÏï", strict=True))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo", strict=True))
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеорсухіјѕһԁԛԝЁёЇїѴѵҮӏԌԚԜ", "ABESIJKMHOPCTYXaeopcyxijshdqwËëÏïVvYlGQW", strict=True))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρϲϳϹͿ", "ABEZHIKMNOPTYXovpcjCJ", strict=True))
+
+
+
+def _accented(table: dict[str, str], letters: range) -> dict[str, str]:
+    """The letters of a script that are a look-alike with an accent, each as the Latin letter with that accent."""
+    out = {}
+    for c in map(chr, letters):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and base in table and len(same := unicodedata.normalize("NFC", table[base] + "".join(marks))) == 1:
+            out[c] = same
+    return out
+
+
+CYRILLIC |= _accented(CYRILLIC, range(0x400, 0x530))
+GREEK |= _accented(GREEK, range(0x370, 0x400))
 
 # Ligatures, and characters of another width or code with the same look.
-_SAME = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "｡": "。", "｢": "「", "｣": "」", "､": "、", "･": "・", "‐": "-", "‑": "-", "µ": "μ", " ": "\n", " ": "\n", "\u0085": "\n"}
+_SAME = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "｡": "。", "｢": "「", "｣": "」", "､": "、", "･": "・", "‐": "-", "‑": "-", "µ": "μ", "ɑ": "a", "ɡ": "g", " ": "\n", " ": "\n", "\u0085": "\n"}
 # Characters that show nothing.
 _UNSEEN = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩ㅤ﻿ﾠ"
 
@@ -35,7 +50,7 @@ _PLAIN |= {c: chr(int(d.split()[1], 16)) for c in range(0xFF61, 0xFFEF) if (d :=
 _PLAIN |= {c: unicodedata.normalize("NFKC", chr(c)) for c in range(0x2160, 0x2180)}  # Roman numerals
 _PLAIN |= {c: " " for c in (0xA0, 0x1680, 0x202F, 0x205F, 0x3000, *range(0x2000, 0x200B))}
 _PLAIN |= {ord(c): None for c in _UNSEEN}
-_PLAIN |= {c: None for c in range(0xFE00, 0xFE10)}
+_PLAIN |= {c: None for c in (*range(0xFE00, 0xFE10), *range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0))}  # variation selectors, tags
 
 _TO_LATIN = {ord(a): b for a, b in (CYRILLIC | GREEK).items()}
 _LIKE = set("".join(CYRILLIC.values()) + "".join(GREEK.values()))
@@ -91,39 +106,45 @@ def _anchors(text: str) -> dict[str, int]:
     return {s: len(p.findall(text)) for s, p in _ANCHOR.items()}
 
 
-def swaps(text: str) -> dict[str, str]:
-    """The rewriting of each token of a plain text that mixes scripts or may stand in the wrong one.
+def _scripts(text: str) -> set[str]:
+    """Scripts of the letters of a text."""
+    return {_script(c) for c in text} - {""}
+
+
+def swaps(text: str) -> dict[str, list[str]]:
+    """The rewritings, best first, of each token of a plain text that mixes scripts or may stand in the wrong one.
 
-    A token's dominant script is that of the letters that only one script has.
-    Without any, digits and underscores speak for Latin, and else the dominant
-    script of the text decides. Letters that have no look-alike there stay.
+    A token's dominant script is that of the letters that only one script has, and it
+    is rewritten in that. Without any such letter digits and underscores speak for Latin;
+    else every script that has all its letters will do, that of the text first.
     """
     if not _OTHER.search(text):
         return {}
-    found = set(_TOKEN.findall(text))
-    whole: str | None = None
+    order: list[str] = []
     out = {}
-    for token in found:
+    for token in set(_TOKEN.findall(text)):
         if any(p.fullmatch(token) and _ANCHOR[k].search(token) for k, p in _PURE.items()):
             continue
-        scripts = {_script(c) for c in token} - {""}
+        scripts = _scripts(token)
         if not scripts:
             continue
         own = _anchors(token)
         if any(own.values()):
             if len(scripts) < 2:
                 continue
-            main = max("lcg", key=lambda s: own[s])
+            ways = [max("lcg", key=lambda s: own[s])]
         elif not token.isalpha():
-            main = "l"
+            ways = ["l"]
         else:
-            if whole is None:
+            if not order:
                 total = _anchors(text)
-                whole = max("lcg", key=lambda s: total[s])
-            main = whole
-        new = unicodedata.normalize("NFC", token.translate(_TO[main]))
-        if new != token:
-            out[token] = new
+                order = sorted("lcg", key=lambda s: -total[s])
+            ways = order
+        forms = [unicodedata.normalize("NFC", token.translate(_TO[w])) for w in ways]
+        if len(ways) > 1:
+            forms = [f for f in forms if len(_scripts(f)) == 1]
+        if forms and forms[0] != token:
+            out[token] = forms
     return out
 
 
@@ -153,24 +174,28 @@ def survey(df: DataFrame, id_col: str, text: str) -> DataFrame:
                 form.append(None if s else raw[-1] if p is t else _digest(p))
                 kept.append(p if s else None)
                 maps.append(list(s.items()) if s else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), pa.array(form, pa.binary()), pa.array(kept, pa.string()), pa.array(maps, pa.map_(pa.string(), pa.string()))], names=["id", "raw", "form", "text", "swaps"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), pa.array(form, pa.binary()), pa.array(kept, pa.string()), pa.array(maps, pa.map_(pa.string(), pa.list_(pa.string())))], names=["id", "raw", "form", "text", "swaps"])
 
     rows = df.where(F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    return checkpoint(rows.mapInArrow(run, "id long, raw binary, form binary, text string, swaps map<string,string>"))
+    return checkpoint(rows.mapInArrow(run, "id long, raw binary, form binary, text string, swaps map<string,array<string>>"))
 
 
-#: Makes blanks of the ASCII characters that are in no token.
-_CUT = bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+#: Makes blanks of the ASCII characters that are no letters.
+_CUT = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+#: Words of a token: its runs of letters.
+_RUN = re.compile(r"[A-Za-z\u00c0-\u024f\u0300-\u036f\u0370-\u03ff\u0400-\u052f]+")
+#: Parts of each doubtful token, so that one in very many rows is no hot key.
+SALT = 8
 
 
 def vocabulary(df: DataFrame, text: str, flush: int = 200_000) -> DataFrame:
-    """(word): the distinct tokens of one script of all texts, made distinct within each task before the shuffle."""
+    """(word): the distinct runs of letters of one script of all texts, made distinct within each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: set[bytes] = set()
 
         def words() -> pa.RecordBatch:
-            sure = [w for w in map(bytes.decode, held) if w.isascii() or len({_script(c) for c in w} - {""}) == 1]
+            sure = [w for w in map(bytes.decode, held) if w.isascii() or len(_scripts(w)) == 1]
             return pa.RecordBatch.from_arrays([pa.array(sure, pa.string())], names=["word"])
 
         for b in batches:
@@ -179,25 +204,27 @@ def vocabulary(df: DataFrame, text: str, flush: int = 200_000) -> DataFrame:
                 if p.isascii():
                     held.update(p.encode().translate(_CUT).split())
                 else:
-                    held.update(w.encode() for w in set(_TOKEN.findall(p)))
+                    held.update(w.encode() for w in set(_RUN.findall(p)))
                 if len(held) >= flush:
                     yield words()
                     held.clear()
         if held:
             yield words()
 
-    return df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "word string")
+    return df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "word string").distinct()
 
 
 def _accepted(known: DataFrame, df: DataFrame, text: str) -> DataFrame:
-    """(id, accepted): the rewritings of each doubtful row whose result is in the vocabulary.
-
-    A result that two rows propose independently counts as a word of the corpus too.
-    """
-    doubts = known.where(F.col("swaps").isNotNull()).select("id", F.explode("swaps").alias("token", "word"))
-    asked = doubts.groupBy("word").agg((F.min("id") != F.max("id")).alias("twice"))
-    words = asked.where("twice").select("word").unionByName(asked.where("not twice").join(vocabulary(df, text), "word", "left_semi").select("word"))
-    return doubts.join(words, "word").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("token", "word"))).alias("accepted"))
+    """(id, accepted): for each doubtful row and token the first rewriting that is in the vocabulary, which is to say all its words are."""
+    doubts = known.where(F.col("swaps").isNotNull()).select("id", F.explode("swaps").alias("token", "words"))
+    runs = F.array_distinct(F.regexp_extract_all("form", F.lit(_RUN.pattern), F.lit(0)))
+    asked = doubts.select("token", "words").distinct().select("token", "words", F.posexplode("words").alias("pos", "form")).select("token", "words", "pos", "form", F.explode(runs).alias("word"))
+    found = asked.join(vocabulary(df, text).withColumn("there", F.lit(True)), "word", "left")
+    whole = found.groupBy("token", "words", "pos", "form").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("whole")).where("whole")
+    chosen = whole.groupBy("token", "words").agg(F.min_by("form", "pos").alias("form")).where("form != token")
+    chosen = chosen.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    kept = doubts.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(chosen, ["token", "words", "s"])
+    return kept.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("token", "form"))).alias("accepted"))
 
 
 def _repaired(known: DataFrame, df: DataFrame, text: str, digest: bool) -> DataFrame:

@@ -219,3 +219,17 @@ def test_width_is_no_difference():
     assert lookalike.plain("ﾡￂ") == lookalike.plain("ㄱㅏ")
     assert lookalike.plain("￠￡￢￣￤￥￦") == "¢£¬¯¦¥₩"
     assert lookalike.plain("aﾠb") == "ab"
+
+
+def test_look_alikes_with_accents_and_without_letters_of_one_script_only(spark):
+    texts = [
+        "Später wäre das möglich",
+        "Ѕрӓtеr wӓrе dаѕ mο̈glіch",
+        "Обзор: цикл while и файл",
+        "Обзор: цикл whіlе и файл",
+        "Обзор: цикл ԝһіӏе и файл",
+        "no pair\U000e0041 here️",
+        "no pair here",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {tuple(r) for r in lookalike.twins(lookalike.forms(df, "doc_id", "text")).collect()} == {(0, 1), (2, 3), (2, 4), (3, 4), (5, 6)}
