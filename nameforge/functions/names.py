@@ -7,6 +7,22 @@ from pyspark.sql import functions as F
 
 WHITE = " \t\n\r\x0b\x0c"
 
+# Names that compilers add, and how more of them begin.
+COMPILER_MADE = (
+    "deregister_tm_clones",
+    "register_tm_clones",
+    "__do_global_dtors_aux",
+    "__libc_csu_init",
+    "__libc_csu_fini",
+    "_start",
+    "_fini",
+    "_init",
+    "__do_global_ctors_aux",
+    "frame_dummy",
+    "__gmon_start__",
+)
+COMPILER_PREFIX = r"^(__|\.|_start|_init|_fini)"
+
 
 def name_of(names: Column) -> Column:
     """The name in a funname_aligned map: trimmed, lower case; NULL where there is none.
@@ -26,21 +42,7 @@ def interesting(name: Column) -> Column:
 
 def compiler_made(name: Column) -> Column:
     """Start-up and tear-down functions that a compiler or linker adds."""
-    # Names that compilers add.
-    made = (
-        "deregister_tm_clones",
-        "register_tm_clones",
-        "__do_global_dtors_aux",
-        "__libc_csu_init",
-        "__libc_csu_fini",
-        "_start",
-        "_fini",
-        "_init",
-        "__do_global_ctors_aux",
-        "frame_dummy",
-        "__gmon_start__",
-    )
-    return F.coalesce(name.isin(*made) | name.rlike(r"^(__|\.|_start|_init|_fini)"), F.lit(False))
+    return F.coalesce(name.isin(*COMPILER_MADE) | name.rlike(COMPILER_PREFIX), F.lit(False))
 
 
 def external_segment(segment: Column) -> Column:

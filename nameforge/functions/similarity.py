@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,7 +109,25 @@ def cosine(a: Column, b: Column) -> Column:
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+
+
+def letter_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two texts' counts of the letters a to z, letter case ignored; 0 where either has none. Stands in for an encoder."""
+
+    def counts(x: Column) -> Column:
+        low = F.lower(x)
+        return F.transform(F.array(*(F.lit(chr(c)) for c in range(97, 123))), lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("double"))
+
+    return F.coalesce(F.nanvl(cosine(counts(a), counts(b)), F.lit(0.0)), F.lit(0.0))
+
+
+def cluster_match(clusters: dict[str, list[int]], most: int = 20_000, match=None):
+    """A token match with word clusters, {word: numbers}; a side table of at most ``most`` words."""
+    if len(clusters) > most:
+        raise ValueError(f"{len(clusters)} words are more than {most}")
+    known = F.from_json(F.lit(json.dumps(clusters)), "map<string,array<int>>")
+    return lambda a, b: (match or near_token)(a, b, F.try_element_at(known, a), F.try_element_at(known, b))
 
 
 def same_token(a: Column, b: Column, clusters_a: Column | None = None, clusters_b: Column | None = None) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nameforge.functions.names import interesting
+
 _MAP = "map<string,string>"
 
 
@@ -38,6 +40,22 @@ def by_name(answers: DataFrame, key: str) -> DataFrame:
     return answers.where(F.col("answer").isNotNull()).select(key, "pos", "prob", F.explode("answer").alias("name", "value"))
 
 
+def to_score(answers: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """answers joined with truth (keys, gt) by key and name, by the skip rules of scoring.
+
+    A true name that is not interesting or is still the placeholder is left out, and so
+    is a placeholder that no answer names: none of these counts as a miss.
+    """
+    rows = truth.where(interesting(F.col("gt")) & (F.col("gt") != F.col("name")))
+    return answers.join(rows, [*keys, "name"])
+
+
+def first(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """The answer that came first for each key, whatever its probability."""
+    rest = [c for c in answers.columns if c not in keys]
+    return answers.groupBy(*keys).agg(F.min_by(F.struct(*rest), "pos").alias("_r")).select(*keys, "_r.*")
+
+
 def with_errors(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(readable, unreadable): the main output and the one for inspection."""
     return answers.where(F.col("answer").isNotNull()), answers.where(F.col("answer").isNull()).select("error", *(c for c in answers.columns if c not in ("error", "answer")))

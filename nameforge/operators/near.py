@@ -97,7 +97,7 @@ def similar(texts: list[str], of: np.ndarray, cell: np.ndarray, side: np.ndarray
 
 
 def pairs(records: DataFrame, keys: DataFrame, budget: tuple[int, int], sizes: list[str], bands: list[tuple[int, int]], cap: int = CAP, block: str = "block", id_col: str = "id", text: str = "text") -> DataFrame:
-    """(a, b, d), a < b: rows of one block whose texts are d <= budget (la + lb) insertions and deletions apart.
+    """(a, b, d, n), a < b: rows of one block whose texts, of n characters together, are d <= budget n insertions and deletions apart.
 
     The sizes of a pair lie within the bands: down |x - y| <= up max(x, y); hot blocks
     are laid out by the first. keys: block and first size of every row, without its
@@ -113,9 +113,11 @@ def pairs(records: DataFrame, keys: DataFrame, budget: tuple[int, int], sizes: l
         t, code = t.filter(pa.array(keep)), code[keep]
         whole = t.column(text).combine_chunks().dictionary_encode()
         ids = t.column(id_col).to_numpy()
+        texts, of = whole.dictionary.to_pylist(), whole.indices.to_numpy().astype(np.int64)
+        length = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))[of]
         limits = [t.column(s).to_numpy().astype(np.int64) for s in sizes]
-        for i, j, d in similar(whole.dictionary.to_pylist(), whole.indices.to_numpy().astype(np.int64), code, t.column("side").to_numpy(), limits, budget, bands):
+        for i, j, d in similar(texts, of, code, t.column("side").to_numpy(), limits, budget, bands):
             x, y = ids[i], ids[j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d)], names=["a", "b", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d), pa.array(length[i] + length[j])], names=["a", "b", "d", "n"])
 
-    return cells.map_cells(placed, block, work, "a long, b long, d long", ["side", id_col, text, *sizes])
+    return cells.map_cells(placed, block, work, "a long, b long, d long, n long", ["side", id_col, text, *sizes])

@@ -294,54 +294,65 @@ def summary_conflicts(spark: SparkSession, folder: str) -> DataFrame:
 # ---- retrieval ----------------------------------------------------------------------------------------------------
 
 
-def _retrieved(spark: SparkSession, folder: str) -> DataFrame:
-    """The most similar other function by number literals, within equal arg_count and return_type and similar sizes."""
-    rows = spread(table(spark, folder, "functions_norm").select(F.col("func_id").alias("id"), "index", F.col("norm_code").alias("code"))).withColumn("numbers", code.number_tokens(F.col("code")))
-    return retrieve.retrieve(rows, rows, lambda a, b: F.coalesce(100 * code.jaccard(a, b), F.lit(0.0)), text="numbers", source="code", numbers="numbers", threshold=30.0, not_self=True)
+def _nearest(spark: SparkSession, folder: str, keep: tuple[str, ...] = (), threshold: float = 90.0) -> DataFrame:
+    """The most similar other function by the ratio of normalised code, over 90; numeric constants decide ties only."""
+    rows = spread(table(spark, folder, "functions_norm").select(F.col("func_id").alias("id"), "index", F.col("norm_code").alias("code")))
+    rows = rows.withColumn("text", code.norm_placeholders(F.col("code"))).withColumn("numbers", code.numbers(F.col("code")))
+    return retrieve.retrieve(rows, rows, text="text", source="code", numbers="numbers", keep=keep, threshold=threshold, not_self=True)
 
 
-_NORM_NUMBERS = _NUMBERS.replace("regexp_replace(code,", "regexp_replace(norm_code,", 1)
-_RETRIEVE_SQL = f"""
-WITH r AS (SELECT func_id AS id, index AS ix, norm_code, {_NORM_NUMBERS} AS nums,
-  index IS NOT NULL AND index.arg_count IS NOT NULL AND index.return_type IS NOT NULL AND index.loc IS NOT NULL AND index.full_loc IS NOT NULL AS has FROM functions_norm),
-p AS (SELECT a.id AS t, c.id AS c, a.nums AS n0, c.nums AS n1, coalesce(100 * (len(list_intersect(a.nums, c.nums)) / len(list_distinct(a.nums || c.nums))), 0.0) AS s
-  FROM r a JOIN r c ON a.has AND c.has AND a.ix.arg_count = c.ix.arg_count AND a.ix.return_type = c.ix.return_type AND a.id <> c.id AND length(c.norm_code) > 0 AND NOT a.ix.loc BETWEEN 1 AND 1
-   AND abs(a.ix.loc - c.ix.loc) / greatest(a.ix.loc, c.ix.loc, 1) <= 0.3 AND abs(a.ix.full_loc - c.ix.full_loc) / greatest(a.ix.full_loc, c.ix.full_loc, 1) <= 0.3),
-b AS (SELECT t, max(s) AS best, count(*) AS sized, count(*) FILTER (s > 30) AS qualified FROM p GROUP BY t),
-k AS (SELECT p.t, count(*) FILTER (s = best) AS top, max(s) FILTER (s < best) AS below, min(c) FILTER (s = best) AS one, bool_or(s = best AND len(n0) = 0) AS gap FROM p JOIN b USING (t) GROUP BY p.t)
-SELECT r.id, CASE WHEN NOT has THEN 'missing_index' WHEN ix.loc BETWEEN 1 AND 1 THEN 'short_loc' WHEN best IS NULL OR best <= 30 THEN 'no_match' WHEN top = 1 THEN 'matched' ELSE 'ambiguous' END AS status,
-  CASE WHEN best > 30 AND top = 1 THEN one END AS match_id, round(best, 6) AS best, round(CASE WHEN top > 1 THEN best ELSE below END, 6) AS second, coalesce(qualified, 0) AS qualified, coalesce(sized, 0) AS sized
-FROM r LEFT JOIN b ON r.id = b.t LEFT JOIN k ON r.id = k.t"""
+def _diagnostics(df: DataFrame) -> DataFrame:
+    r = F.col("retrieval")
+    return df.select(
+        "id",
+        r["status"].alias("status"),
+        F.col("match.id").alias("match_id"),
+        r["best_score"].alias("best"),
+        r["second_best_score"].alias("second"),
+        r["qualified_candidate_count"].alias("qualified"),
+        r["size_filtered_candidate_count"].alias("sized"),
+        r["top_similarity_candidate_count"].alias("top"),
+        r["selection_method"].alias("method"),
+        F.round(r["best_numeric_constant_jaccard"], 9).alias("best_jaccard"),
+        F.round(r["second_best_numeric_constant_jaccard"], 9).alias("second_jaccard"),
+        r["top_jaccard_candidate_count"].alias("top_jaccard"),
+    )
 
 
-@query(_RETRIEVE_SQL)
+@query()
 def retrieve_similar(spark: SparkSession, folder: str) -> DataFrame:
-    r = F.col("retrieval")
-    return _retrieved(spark, folder).select("id", r["status"].alias("status"), F.col("match.id").alias("match_id"), F.round(r["best_score"], 6).alias("best"), F.round(r["second_best_score"], 6).alias("second"), r["qualified_candidate_count"].alias("qualified"), r["size_filtered_candidate_count"].alias("sized"))
+    return _diagnostics(_nearest(spark, folder))
 
 
-@query(f"SELECT s.status, count(q.id) AS rows FROM (VALUES ('missing_index'), ('short_loc'), ('no_match'), ('matched'), ('ambiguous')) s(status) LEFT JOIN ({_RETRIEVE_SQL}) q ON q.status = s.status GROUP BY s.status")
+@query()
 def retrieval_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup.status_counts(_retrieved(spark, folder).select(F.col("retrieval.status").alias("status")), "status", retrieve.STATUSES)
-
-
-def _nearest(spark: SparkSession, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The most similar other function by the ratio of normalised code, over 90; numeric constants decide ties only."""
-    rows = spread(table(spark, folder, "functions_norm").select(F.col("func_id").alias("id"), "index", F.col("norm_code").alias("code")))
-    rows = rows.withColumn("text", code.norm_placeholders(F.col("code"))).withColumn("numbers", code.numbers(F.col("code")))
-    return retrieve.retrieve(rows, rows, similarity.indel_ratio, text="text", source="code", numbers="numbers", keep=keep, not_self=True)
+    return dedup.status_counts(_nearest(spark, folder).select(F.col("retrieval.status").alias("status")), "status", retrieve.STATUSES)
 
 
-@query()
-def retrieve_indel(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole retrieval; retrieve_similar is the part of it that SQL can follow, by numbers alone."""
-    r = F.col("retrieval")
-    return _nearest(spark, folder).select("id", r["status"].alias("status"), F.col("match.id").alias("match_id"), r["best_score"].alias("best"), r["second_best_score"].alias("second"), r["qualified_candidate_count"].alias("qualified"), r["size_filtered_candidate_count"].alias("sized"), r["selection_method"].alias("method"))
+_NORM_VALUES = f"list_sort(list_distinct(list_transform({_NUMBERS.replace('regexp_replace(code,', 'regexp_replace(norm_code,', 1)}, lambda t: {_VALUE})))"
+_RETRIEVE_SQL = f"""
+WITH r AS (SELECT func_id AS id, index AS ix, norm_code, {_chain(_BARE.replace("regexp_replace(code,", "regexp_replace(norm_code,"))} AS txt, {_NORM_VALUES} AS nums,
+  index IS NOT NULL AND index.arg_count IS NOT NULL AND index.return_type IS NOT NULL AND index.loc IS NOT NULL AND index.full_loc IS NOT NULL AS has FROM functions_norm),
+p AS (SELECT a.id AS t, c.id AS c, a.nums AS n0, c.nums AS n1, a.txt = c.txt AS hit
+  FROM r a JOIN r c ON a.has AND c.has AND a.ix.arg_count = c.ix.arg_count AND a.ix.return_type = c.ix.return_type AND a.id <> c.id AND a.txt IS NOT NULL AND length(c.norm_code) > 0 AND NOT a.ix.loc BETWEEN 1 AND 1
+   AND abs(a.ix.loc - c.ix.loc) * 10 <= greatest(a.ix.loc, c.ix.loc) * 3 AND abs(a.ix.full_loc - c.ix.full_loc) * 10 <= greatest(a.ix.full_loc, c.ix.full_loc) * 3),
+b AS (SELECT t, count(*) AS sized FROM p GROUP BY t),
+j AS (SELECT t, c, CASE WHEN len(n0) > 0 THEN len(list_intersect(n0, n1)) / len(list_distinct(n0 || n1)) END AS j FROM p WHERE hit),
+k AS (SELECT t, count(*) AS top, min(c) AS one, count(*) FILTER (j IS NULL) AS gaps, max(j) AS j1 FROM j GROUP BY t),
+m AS (SELECT j.t, count(*) AS topj, min(c) AS jc FROM j JOIN k ON j.t = k.t AND j.j = k.j1 GROUP BY j.t),
+n AS (SELECT j.t, max(j) AS j2 FROM j JOIN k ON j.t = k.t AND j.j < k.j1 GROUP BY j.t)
+SELECT r.id, CASE WHEN NOT has THEN 'missing_index' WHEN ix.loc BETWEEN 1 AND 1 THEN 'short_loc' WHEN top IS NULL THEN 'no_match' WHEN top = 1 THEN 'matched' WHEN gaps > 0 THEN 'ambiguous' WHEN topj = 1 THEN 'matched' ELSE 'ambiguous' END AS status,
+  CASE WHEN top = 1 THEN one WHEN top > 1 AND gaps = 0 AND topj = 1 THEN jc END AS match_id, CASE WHEN top IS NOT NULL THEN 100.0 END AS best, CASE WHEN top > 1 THEN 100.0 END AS second, coalesce(top, 0) AS qualified, coalesce(sized, 0) AS sized, coalesce(top, 0) AS top,
+  CASE WHEN top = 1 THEN 'similarity' WHEN gaps > 0 THEN 'numeric_constant_jaccard_unavailable' WHEN topj = 1 THEN 'numeric_constant_jaccard' WHEN topj > 1 THEN 'unresolved_numeric_constant_jaccard' END AS method,
+  round(CASE WHEN top > 1 AND gaps = 0 THEN j1 END, 9) AS best_jaccard, round(CASE WHEN top > 1 AND gaps = 0 THEN CASE WHEN topj > 1 THEN j1 ELSE j2 END END, 9) AS second_jaccard,
+  CASE WHEN top > 1 AND gaps > 0 THEN top WHEN top > 1 THEN topj ELSE 0 END AS top_jaccard
+FROM r LEFT JOIN b ON r.id = b.t LEFT JOIN k ON r.id = k.t LEFT JOIN m ON r.id = m.t LEFT JOIN n ON r.id = n.t"""
 
 
-@query()
-def retrieve_indel_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup.status_counts(_nearest(spark, folder).select(F.col("retrieval.status").alias("status")), "status", retrieve.STATUSES)
+@query(_RETRIEVE_SQL)
+def retrieve_equal(spark: SparkSession, folder: str) -> DataFrame:
+    """The same retrieval where only equal normalised code scores high enough: all that SQL can follow of it."""
+    return _diagnostics(_nearest(spark, folder, threshold=99.999))
 
 
 @query("""WITH b AS (SELECT p_brand, max(p_retailprice) AS best FROM part GROUP BY p_brand)
@@ -406,7 +417,12 @@ def prompt_context(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("func_id", F.md5(prompts.context_prompt(F.lit("<SUMMARY>s</SUMMARY>"), F.col("callsites"), F.col("callees"), F.col("code"), asked)).alias("digest"))
 
 
-@query()
+_EMPTY = f"CASE WHEN len({{0}}) = 0 THEN '{{1}}' ELSE array_to_string({{0}}, chr(10)) END"
+
+
+@query(f"""SELECT rec_id, '{prompts.DOMAIN_TASK}' || chr(10) || '<PROJECT_NAME>' || chr(10) || {_strip("coalesce(analysis.project_name, '')")} || chr(10) || '</PROJECT_NAME>' || chr(10) || '<FILE_OUTPUT>' || chr(10) || {_strip("coalesce(analysis.file_output, '')")} || chr(10) || '</FILE_OUTPUT>' || chr(10) || '<LDD_OUTPUT>' || chr(10)
+  || {_EMPTY.format('libs', prompts.NO_LIBRARIES)} || chr(10) || '</LDD_OUTPUT>' || chr(10) || '<STRINGS_OUTPUT>' || chr(10) || {_EMPTY.format('strs', prompts.NO_STRINGS)} || chr(10) || '</STRINGS_OUTPUT>' || chr(10) AS prompt, len(libs) = 0 AS no_libraries, len(strs) = 0 AS no_strings
+FROM (SELECT rec_id, analysis, {_distinct('l')} AS libs, {_distinct('s')} AS strs FROM (SELECT rec_id, analysis, {_LIBS} AS l, {_STRINGS} AS s FROM domain_records))""")
 def prompt_domain(spark: SparkSession, folder: str) -> DataFrame:
     made = prompts.domain_prompt(F.col("analysis.project_name"), F.col("analysis.file_output"), F.col("analysis.ldd_output"), F.col("analysis.strings_truncated"))
     rows = table(spark, folder, "domain_records").select("rec_id", made.alias("p"))
@@ -464,27 +480,75 @@ def scores_exact(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.averages(_scored(spark, folder).withColumn("precision", hit).withColumn("recall", hit)).select("split", "kind", "names", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
-_TOK = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}]+'), lambda w: w <> '')"
+def _words(x: str) -> str:
+    """SQL: words of a lower-case name; neighbouring single letters are one word."""
+    t = rf"list_filter(regexp_split_to_array({x}, '[^\p{{L}}]+'), lambda w: w <> '')"
+    joined = "array_to_string(list_transform(range(1, len(t.t) + 1), lambda i: CASE WHEN i = 1 OR (length(t.t[i]) = 1 AND length(t.t[i - 1]) = 1) THEN '' ELSE ' ' END || t.t[i]), '')"
+    return f"(SELECT list_filter(string_split({joined}, ' '), lambda w: w <> '') FROM (SELECT {t} AS t) t)"
 
 
-@query()
+_NEAR = "x = y OR starts_with(x, y) OR starts_with(y, x) OR (length(x) > 1 AND length(y) > 1 AND x[1] = y[1] AND levenshtein(x, y) * 3 < greatest(length(x), length(y)))"
+_SAME = "x = y OR (least(length(x), length(y)) >= 2 AND (starts_with(x, y) OR starts_with(y, x) OR ends_with(x, y) OR ends_with(y, x)))"
+
+
+def _name_scores(match: str, source: str, keep: str) -> str:
+    """SQL: keep columns with p and r, the scores of pred against gt in a source."""
+
+    def share(a: str, b: str) -> str:
+        return f"CASE WHEN g IS NULL OR q IS NULL THEN 0.0 WHEN g = q THEN 1.0 WHEN len(tg) = 0 OR len(tq) = 0 THEN 0.0 ELSE len(list_distinct(list_filter({a}, lambda x: len(list_filter({b}, lambda y: {match})) > 0))) / len({a}) END"
+
+    cut = f"SELECT *, {_words('g')} AS tg, {_words('q')} AS tq FROM (SELECT *, lower(gt) AS g, lower(pred) AS q FROM {source})"
+    return f"SELECT {keep}, {share('tq', 'tg')} AS p, {share('tg', 'tq')} AS r FROM ({cut})"
+
+
+def _averages(match: str) -> str:
+    return f"""{_SCORED_SQL}, y AS ({_name_scores(match, 'x', 'kind, in_train')}),
+z AS (SELECT k.kind, s.split, p, r FROM y, LATERAL (SELECT unnest([y.kind, CASE WHEN y.kind <> 'fun' THEN 'params_vars' END, 'total']) AS kind) k, LATERAL (SELECT unnest([CASE WHEN in_train IN (0, 1) THEN CAST(in_train AS VARCHAR) END, 'all']) AS split) s WHERE k.kind IS NOT NULL AND s.split IS NOT NULL)
+SELECT split, kind, count(*) AS names, round(avg(p), 9) AS precision, round(avg(r), 9) AS recall, round(CASE WHEN avg(p) + avg(r) > 0 THEN 2 * avg(p) * avg(r) / (avg(p) + avg(r)) ELSE 0 END, 9) AS f1 FROM z GROUP BY split, kind"""
+
+
+def _averaged(rows: DataFrame) -> DataFrame:
+    got = metrics.averages(rows.withColumn("precision", F.col("s.precision")).withColumn("recall", F.col("s.recall")))
+    return got.select("split", "kind", "names", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(_averages(_NEAR))
 def scores_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Average scores by kind and split, token by token."""
-    rows = spread(_scored(spark, folder)).withColumn("s", similarity.score_names(F.col("gt"), F.col("pred")))
-    return metrics.averages(rows.withColumn("precision", F.col("s.precision")).withColumn("recall", F.col("s.recall")))
+    return _averaged(spread(_scored(spark, folder)).withColumn("s", similarity.score_names(F.col("gt"), F.col("pred"))))
 
 
-@query()
+@query(_averages(_SAME))
 def scores_suffix(spark: SparkSession, folder: str) -> DataFrame:
     """The same with the stricter token match: equal, or a prefix or suffix of two letters or more."""
-    rows = _scored(spark, folder).withColumn("s", similarity.score_names(F.col("gt"), F.col("pred"), match=similarity.same_token))
-    return metrics.averages(rows.withColumn("precision", F.col("s.precision")).withColumn("recall", F.col("s.recall")))
+    return _averaged(_scored(spark, folder).withColumn("s", similarity.score_names(F.col("gt"), F.col("pred"), match=similarity.same_token)))
 
 
-@query()
+def _letters(x: str) -> str:
+    return f"list_transform(range(97, 123), lambda c: CAST(length({x}) - length(replace({x}, chr(CAST(c AS INTEGER)), '')) AS DOUBLE))"
+
+
+def _letter_words(x: str) -> str:
+    return f"regexp_extract_all(lower(trim({x}, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), '[a-z]+')"
+
+
+_LOWER_PAIRS = {c: _OUTPUT.replace("output", c).replace(_strip("split_part(p, ':', 1)"), f"lower({_strip("split_part(p, ':', 1)")})").replace(_strip("substr(p, strpos(p, ':') + 1)"), f"lower({_strip("substr(p, strpos(p, ':') + 1)")})") for c in ("predict", "output")}
+_REWARD_ONE = f"""CASE WHEN p = g THEN 1.0 WHEN p = '-' OR g = '-' THEN 0.0 ELSE
+  0.2 * (CASE WHEN greatest(length(p), length(g)) = 0 THEN 0.0 ELSE (greatest(length(p), length(g)) - levenshtein(regexp_replace(p, '[^\\x00-\\x7F]', chr(1), 'g'), g)) / greatest(length(p), length(g)) END)
+  + 0.6 * (len(list_intersect({_letter_words('p')}, {_letter_words('g')})) / greatest(1, len(list_distinct({_letter_words('g')}))))
+  + 0.2 * coalesce(CASE WHEN regexp_matches(p, '[a-z]') AND regexp_matches(g, '[a-z]') THEN list_cosine_similarity({_letters('p')}, {_letters('g')}) END, 0.0) END"""
+
+
+@query(f"""WITH b AS (SELECT pred_id, {_LOWER_PAIRS['predict']} AS a, {_LOWER_PAIRS['output']} AS o FROM (SELECT p.pred_id, p.predict, t.output FROM predictions p JOIN test t USING (test_id))),
+u AS (SELECT pred_id, {_last_wins('a')} AS a, {_last_wins('o')} AS o FROM b),
+k AS (SELECT *, list_sort(list_transform(a, lambda e: split_part(e, chr(1), 1))) = list_sort(list_transform(o, lambda e: split_part(e, chr(1), 1))) AND len(o) > 0 AS same FROM u),
+e AS (SELECT pred_id, a, unnest(o) AS y, len(o) AS n FROM k WHERE same),
+v AS (SELECT pred_id, n, split_part(list_filter(a, lambda x: split_part(x, chr(1), 1) = split_part(y, chr(1), 1))[1], chr(1), 2) AS p, split_part(y, chr(1), 2) AS g FROM e),
+w AS (SELECT pred_id, sum({_REWARD_ONE}) / any_value(n) AS reward FROM v GROUP BY pred_id)
+SELECT b.pred_id, round(coalesce(w.reward, 0.0), 9) AS reward FROM b LEFT JOIN w USING (pred_id)""")
 def reward_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "predictions").select("pred_id", "test_id", "predict").join(table(spark, folder, "test").select("test_id", "output"), "test_id")
-    return rows.select("pred_id", F.round(similarity.hybrid_reward(pairs.parse(F.col("predict"), lower=True), pairs.parse(F.col("output"), lower=True)), 9).alias("reward"))
+    return rows.select("pred_id", F.round(similarity.hybrid_reward(pairs.parse(F.col("predict"), lower=True), pairs.parse(F.col("output"), lower=True), similarity.letter_cosine), 9).alias("reward"))
 
 
 @query(r"""SELECT e.k AS placeholder, e.v AS name, count(*) AS rows FROM (SELECT unnest(list_transform(map_entries(vars_aligned), lambda m: {'k': m.key, 'v': m.value})) AS e FROM test)
@@ -494,14 +558,14 @@ def interesting_names(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(names.interesting(F.col("name"))).groupBy("placeholder", "name").agg(F.count("*").alias("rows"))
 
 
-@query(f"""SELECT name, array_to_string({_TOK.format('name')}, ' ') AS words FROM (SELECT DISTINCT lower(unnest(map_values(funname_aligned))) AS name FROM test) WHERE NOT regexp_matches(name, '(^|[^\\p{{L}}])\\p{{L}}[^\\p{{L}}]+\\p{{L}}([^\\p{{L}}]|$)')""".replace("\\\\", "\\"))
+@query(f"SELECT name, array_to_string({_words('name')}, ' ') AS words FROM (SELECT DISTINCT lower(unnest(map_values(funname_aligned))) AS name FROM test) WHERE name IS NOT NULL")
 def name_words(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of the lower-case names. The SQL leaves out those with neighbouring single letters, which it cannot fuse; on tables that have any, it has fewer rows."""
+    """Words of the lower-case names."""
     rows = table(spark, folder, "test").select(F.explode(F.map_values("funname_aligned")).alias("n")).select(F.lower("n").alias("name")).distinct()
     return rows.where("name IS NOT NULL").select("name", F.array_join(names.words(F.col("name")), " ").alias("words"))
 
 
-@query(r"SELECT count(*) FILTER (regexp_matches(funname, '^(__|\.|_start|_init|_fini)')) AS compiler, count(*) FILTER (regexp_matches(func_name, '^(sub_|FUN_)')) AS generated FROM functions, (SELECT NULL AS func_name) UNION ALL SELECT 0, count(*) FROM predictions WHERE regexp_matches(func_name, '^(sub_|FUN_)')")
+@query(rf"SELECT count(*) FILTER (regexp_matches(funname, '{names.COMPILER_PREFIX}') OR funname IN {names.COMPILER_MADE}) AS compiler, count(*) FILTER (regexp_matches(func_name, '^(sub_|FUN_)')) AS generated FROM functions, (SELECT NULL AS func_name) UNION ALL SELECT 0, count(*) FROM predictions WHERE regexp_matches(func_name, '^(sub_|FUN_)')")
 def name_filters(spark: SparkSession, folder: str) -> DataFrame:
     made = table(spark, folder, "functions").agg(F.count_if(names.compiler_made(F.col("funname"))).alias("compiler"), F.lit(0).cast("long").alias("generated"))
     old = answers.legacy_names(table(spark, folder, "predictions")).agg(F.lit(0).cast("long").alias("compiler"), F.count("*").alias("generated"))
@@ -524,14 +588,61 @@ def answers_by_name(spark: SparkSession, folder: str) -> DataFrame:
     return answers.by_name(rows, "pred_id").groupBy("pred_id", "name").agg(F.count("*").alias("answers"), F.max("prob").alias("best"))
 
 
+def _ranked_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every answer for each function and variable that counts; raw texts that could be read included."""
+    records = table(spark, folder, "predictions")
+    got = answers.by_name(answers.ranked(records, "pred_id"), "pred_id")
+    truth = records.select("pred_id", F.explode(F.array("func_id_maps", "var_id_maps")).alias("_m")).select("pred_id", F.explode("_m").alias("name", "gt"))
+    rows = answers.to_score(got, truth.distinct(), ["pred_id"])
+    s = similarity.score_names(F.col("gt"), F.col("value"), match=similarity.same_token)
+    return rows.select("pred_id", "name", "gt", "pos", "prob", "value", s["precision"].alias("precision"), s["recall"].alias("recall"))
+
+
 @query()
 def best_of_three(spark: SparkSession, folder: str) -> DataFrame:
-    """Of the three likeliest answers for each variable the one that the fold over both scores ends with."""
-    got = answers.by_name(answers.ranked(table(spark, folder, "predictions"), "pred_id"), "pred_id")
-    truth = table(spark, folder, "predictions").select("pred_id", F.explode("var_id_maps").alias("name", "gt"))
-    s = similarity.score_names(F.col("gt"), F.col("value"))
-    rows = got.join(truth, ["pred_id", "name"]).select("pred_id", "name", "pos", "prob", "value", s["precision"].alias("precision"), s["recall"].alias("recall"))
-    return metrics.best_of(rows, ["pred_id", "name"], "prob", "pos")
+    """Of the three likeliest answers for each name the one that the fold over both scores ends with."""
+    return metrics.best_of(_ranked_scores(spark, folder), ["pred_id", "name", "gt"], "prob", "pos")
+
+
+@query()
+def first_answer(spark: SparkSession, folder: str) -> DataFrame:
+    """The answer that stands first for each name, with its scores."""
+    return answers.first(_ranked_scores(spark, folder), ["pred_id", "name", "gt"])
+
+
+_READABLE = f"""
+WITH a AS (SELECT pred_id, generate_subscripts(answer_and_probs, 1) - 1 AS pos, unnest(answer_and_probs) AS x FROM predictions),
+e AS (SELECT pred_id, pos, x.prob AS prob, unnest(map_entries(x.answer)) AS m FROM a WHERE x.answer IS NOT NULL AND NOT map_contains(x.answer, 'Error')),
+t AS (SELECT DISTINCT pred_id, m.key AS name, m.value AS gt FROM (SELECT pred_id, unnest(map_entries(func_id_maps)) AS m FROM predictions UNION ALL SELECT pred_id, unnest(map_entries(var_id_maps)) FROM predictions)),
+s AS (SELECT e.pred_id, t.name, t.gt, e.pos, e.prob, e.m.value AS pred FROM e JOIN t ON e.pred_id = t.pred_id AND e.m.key = t.name
+  WHERE gt <> name AND {_strip("gt")} <> '' AND NOT regexp_matches(gt, '^(?:v\\d+\\b|a\\d+\\b|[_0-9]+\\b)') AND gt NOT IN ('i', 'j', 'k', 'ret')),
+c AS ({_name_scores(_SAME, 's', 'pred_id, name, gt, pos, prob, pred')})"""
+
+
+def _readable(spark: SparkSession, folder: str) -> DataFrame:
+    """As _ranked_scores, of the answers that are maps."""
+    records = table(spark, folder, "predictions").withColumn("answer_and_probs", F.transform("answer_and_probs", lambda a: F.when(~F.map_contains_key(a["answer"], "Error"), a)))
+    got = answers.by_name(answers.ranked(records, "pred_id"), "pred_id")
+    truth = records.select("pred_id", F.explode(F.array("func_id_maps", "var_id_maps")).alias("_m")).select("pred_id", F.explode("_m").alias("name", "gt"))
+    s = similarity.score_names(F.col("gt"), F.col("value"), match=similarity.same_token)
+    return answers.to_score(got, truth.distinct(), ["pred_id"]).select("pred_id", "name", "gt", "pos", "prob", "value", s["precision"].alias("precision"), s["recall"].alias("recall"))
+
+
+@query(f"{_READABLE} SELECT pred_id, name, gt, arg_min(pred, pos) AS value, round(arg_min(p, pos), 9) AS precision, round(arg_min(r, pos), 9) AS recall FROM c GROUP BY pred_id, name, gt")
+def first_readable(spark: SparkSession, folder: str) -> DataFrame:
+    """first_answer over the answers that need no recovery: what SQL can follow of it."""
+    got = answers.first(_readable(spark, folder), ["pred_id", "name", "gt"])
+    return got.select("pred_id", "name", "gt", "value", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query(f"""{_READABLE}, d AS (SELECT *, row_number() OVER (PARTITION BY pred_id, name, gt ORDER BY prob DESC NULLS LAST, pos) AS n FROM c),
+w AS (SELECT pred_id, name, gt, list({{'v': pred, 'p': p, 'r': r}} ORDER BY n) AS l FROM d WHERE n <= 3 GROUP BY ALL),
+f AS (SELECT pred_id, name, gt, list_reduce(l, lambda acc, x: CASE WHEN x.p >= acc.p AND x.r >= acc.r THEN x ELSE acc END) AS b FROM w)
+SELECT pred_id, name, gt, b.v AS value, round(b.p, 9) AS precision, round(b.r, 9) AS recall FROM f""")
+def best_readable(spark: SparkSession, folder: str) -> DataFrame:
+    """best_of_three over the answers that need no recovery."""
+    got = metrics.best_of(_readable(spark, folder), ["pred_id", "name", "gt"], "prob", "pos")
+    return got.select("pred_id", "name", "gt", "value", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
 # ---- curation -----------------------------------------------------------------------------------------------------
@@ -598,8 +709,7 @@ def order_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.round(F.sum("l_quantity"), 6).alias("quantity"), F.max("l_shipdate").alias("last_shipped"))
 
 
-@query("SELECT func_id, row_number() OVER (ORDER BY hash(func_id), func_id) > 0 AS placed FROM functions")
+@query("SELECT func_id, md5('42-' || func_id) AS place FROM functions")
 def shuffled(spark: SparkSession, folder: str) -> DataFrame:
-    """All records in a random order that a seed fixes."""
-    return table(spark, folder, "functions").select("func_id").orderBy(F.xxhash64(F.lit(42), "func_id"), "func_id").withColumn("placed", F.lit(True))
-
+    """All records in a random order that a seed fixes: by range of a digest, so no task takes in more than its share."""
+    return table(spark, folder, "functions").select("func_id", F.md5(F.concat(F.lit("42-"), F.col("func_id").cast("string"))).alias("place")).orderBy("place", "func_id")

@@ -59,19 +59,19 @@ def _expected(rows):
                 most = [j for s, j in by if s == max(by)[0]]
                 win = most[0] if len(most) == 1 else None
         status = "no_match" if best is None or best <= 90 else "ambiguous" if win is None else "matched"
-        want[i] = (status, win, best, len(got))
+        want[i] = (status, win, best if best is not None and best > 90 else None, len(got))
     return want
 
 
 def test_retrieval_query_scores_code_and_breaks_ties_by_numbers(spark, tmp_path):
     rows = _norm_rows()
     spark.createDataFrame(rows, f"func_id long, norm_code string, index {INDEX}").write.parquet(str(tmp_path / "functions_norm.parquet"))
-    got = QUERIES["retrieve_indel"](spark, str(tmp_path)).collect()
+    got = QUERIES["retrieve_similar"](spark, str(tmp_path)).collect()
     want = _expected(rows)
     assert {r["id"]: (r["status"], r["match_id"], r["best"], r["sized"]) for r in got} == want
     methods = {r["method"] for r in got}
     assert {"similarity", "numeric_constant_jaccard", "unresolved_numeric_constant_jaccard"} <= methods
-    counts = {r["status"]: r["rows"] for r in QUERIES["retrieve_indel_counts"](spark, str(tmp_path)).collect()}
+    counts = {r["status"]: r["rows"] for r in QUERIES["retrieval_counts"](spark, str(tmp_path)).collect()}
     assert counts == {s: sum(w[0] == s for w in want.values()) for s in counts}
 
 

@@ -133,6 +133,24 @@ def test_signature(spark):
     assert one(spark, code.signature(F.col("t")), t=" none ") == "none"
 
 
+def test_compiler_made(spark):
+    for n, want in [("frame_dummy", True), ("deregister_tm_clones", True), ("register_tm_clones", True), ("_dl_relocate_static_pie", False), ("__gmon_start__", True), ("_start_up", True), (".plt", True), ("start", False), (None, False)]:
+        assert one(spark, names.compiler_made(F.col("n")), n=n) is want
+
+
+def test_letter_cosine(spark):
+    for a, b, want in [("ab", "BA", 1.0), ("ab", "cd", 0.0), ("a1", "", 0.0), ("aab", "ab", 3 / (5**0.5 * 2**0.5))]:
+        assert one(spark, similarity.letter_cosine(F.col("a"), F.col("b")), a=a, b=b) == pytest.approx(want)
+
+
+def test_clusters(spark):
+    match = similarity.cluster_match({"len": [1, 2], "size": [2], "buf": [3]})
+    got = [one(spark, similarity.score_names(F.col("g"), F.col("p"), match=match)["recall"], g=g, p=p) for g, p in [("len", "size"), ("len", "buf"), ("len", "lens"), ("zzz", "size")]]
+    assert got == [1.0, 0.0, 1.0, 0.0]
+    with pytest.raises(ValueError):
+        similarity.cluster_match({"a": [1], "b": [1]}, most=1)
+
+
 def test_names(spark):
     for n, want in [("v1", False), ("v1.x", False), ("_12", False), ("i", False), ("ret", False), ("size", True), ("", False), (None, False), ("v1x", True)]:
         assert one(spark, names.interesting(F.col("n")), n=n) is want

@@ -88,29 +88,71 @@ def test_last_wins_and_status(spark):
 INDEX = "struct<arg_count int, return_type string, loc int, full_loc int>"
 
 
-def test_retrieval_statuses(spark):
-    def score(a, b):
-        return F.when(F.substring(a, 1, 1) == F.substring(b, 1, 1), F.length(a).cast("double")).otherwise(0.0)
-
-    t = [(1, None, "a", "s"), (2, (1, "i", 1, 1), "a", "s"), (3, (1, "i", 10, 10), "a", "s"), (4, (1, "i", 10, 10), "q", "s"), (5, (1, "i", 100, 100), "a", "s"), (6, (2, "i", 10, 10), "a", "s"), (7, (3, "i", 10, 10), "a", "s")]
-    c = [(11, (1, "i", 10, 12), "a" * 95, "s"), (12, (1, "i", 11, 12), "a" * 91, "s"), (13, (1, "i", 10, 10), "a" * 99, ""), (14, (2, "i", 10, 10), "a" * 95, "s"), (15, (2, "i", 10, 10), "a" * 95, "s"), (16, (3, "i", 10, 10), "ab" + "a" * 95, "s"), (17, (3, "i", 10, 10), "ac" + "a" * 95, "s")]
-    nums = {1: [], 3: ["1"], 6: ["1", "2"], 7: ["5"], 14: ["1", "2"], 15: ["1"], 16: ["5"], 17: ["5"]}
-
-    def frame(rows):
-        return spark.createDataFrame([(i, x, a, s, nums.get(i, ["9"])) for i, x, a, s in rows], f"id long, index {INDEX}, text string, src string, numbers array<string>")
-
-    got = {r["id"]: r for r in retrieve.retrieve(frame(t), frame(c), score, "text", "src", "numbers").collect()}
-    status = {i: (r["retrieval"]["status"], r["match"]["id"] if r["match"] else None, r["retrieval"]["selection_method"]) for i, r in got.items()}
-    assert status[1] == ("missing_index", None, None)
-    assert status[2] == ("short_loc", None, None)
-    assert status[3] == ("matched", 11, "similarity")
-    assert status[4][0] == "no_match" and status[5][0] == "no_match"
-    assert status[6] == ("matched", 14, "numeric_constant_jaccard")
-    assert status[7] == ("ambiguous", None, "unresolved_numeric_constant_jaccard")
-    r = got[3]["retrieval"]
-    assert (r["best_score"], r["second_best_score"], r["qualified_candidate_count"], r["size_filtered_candidate_count"]) == (95, 91, 2, 2)
-    assert got[7]["retrieval"]["second_best_score"] == got[7]["retrieval"]["best_score"]
-    assert got[5]["retrieval"]["size_filtered_candidate_count"] == 0
+def _retrieved(targets, candidates, not_self):
+    """Every diagnostic by comparing all pairs; a score that is not over 90 is not told."""
+
+    def close(a, b):
+        return 10 * abs(a - b) <= 3 * max(a, b)
+
+    out = {}
+    for i, x, a, _, n in targets:
+        if x is None or None in x:
+            out[i] = ("missing_index", None, None, None, 0, 0, 0, None, None, None, 0)
+            continue
+        if x[2] == 1:
+            out[i] = ("short_loc", None, None, None, 0, 0, 0, None, None, None, 0)
+            continue
+        near = [(j, b, m) for j, y, b, s, m in candidates if a is not None and b is not None and s and y is not None and None not in y and x[:2] == y[:2] and close(x[2], y[2]) and close(x[3], y[3]) and not (not_self and i == j)]
+        hits = sorted(((100.0 if not a + b else 200 * lcs(a, b) / (len(a) + len(b)), j, m) for j, b, m in near), reverse=True)
+        hits = [h for h in hits if h[0] > 90]
+        if not hits:
+            out[i] = ("no_match", None, None, None, 0, len(near), 0, None, None, None, 0)
+            continue
+        top = [h for h in hits if h[0] == hits[0][0]]
+        second = hits[1][0] if len(hits) > 1 else None
+        j1 = j2 = None
+        if len(top) == 1:
+            status, win, method, tied = "matched", top[0][1], "similarity", 0
+        elif not n or any(m is None for *_, m in top):
+            status, win, method, tied = "ambiguous", None, "numeric_constant_jaccard_unavailable", len(top)
+        else:
+            shares = sorted((len(set(n) & set(m)) / len(set(n) | set(m)) for *_, m in top), reverse=True)
+            j1, j2 = shares[:2]
+            tied = shares.count(j1)
+            best = [j for _, j, m in top if len(set(n) & set(m)) / len(set(n) | set(m)) == j1]
+            status, win, method = ("matched", best[0], "numeric_constant_jaccard") if tied == 1 else ("ambiguous", None, "unresolved_numeric_constant_jaccard")
+        out[i] = (status, win, hits[0][0], second, len(hits), len(near), len(top), method, j1, j2, tied)
+    return out
+
+
+@pytest.mark.parametrize(("not_self", "cap"), [(True, 4000), (True, 9), (False, 4000)])
+def test_retrieval_diagnostics(spark, not_self, cap):
+    rng = random.Random(21)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(5)]
+
+    def rows(n, start):
+        out = []
+        for i in range(start, start + n):
+            t = list(rng.choice(base))
+            for _ in range(rng.choice([0, 1, 1, 2, 4])):
+                t[rng.randrange(4)] = "z"
+            index = rng.choice([None, (1, "int", 1, 4), (1, None, 9, 9)] + [(rng.choice([1, 2]), "int", rng.choice([0, 5, 6, 10, 13]), rng.choice([10, 12, 30]))] * 9)
+            out.append((i, index, rng.choice(["".join(t)] * 9 + [None, ""]), rng.choice(["s"] * 9 + ["", None]), rng.choice([["1"], ["1", "2"], ["2", "3"], ["1", "3", "4"], ["5", "1"]] * 2 + [[], None])))
+        return out
+
+    t = rows(110, 1)
+    c = t if not_self else rows(60, 40)
+    schema = f"id long, index {INDEX}, text string, src string, numbers array<string>"
+    frames = [spark.createDataFrame(x, schema).repartition(3) for x in (t, c)]
+    got = retrieve.retrieve(*frames, "text", "src", "numbers", not_self=not_self, cap=cap).collect()
+    want = _retrieved(t, c, not_self)
+    fields = ["status", "best_score", "second_best_score", "qualified_candidate_count", "size_filtered_candidate_count", "top_similarity_candidate_count", "selection_method", "best_numeric_constant_jaccard", "second_best_numeric_constant_jaccard", "top_jaccard_candidate_count"]
+    assert len(got) == len(t)
+    for r in got:
+        x = r["retrieval"]
+        assert (x["status"], r["match"]["id"] if r["match"] else None, *(x[f] for f in fields[1:])) == want[r["id"]], (r["id"], want[r["id"]])
+    kinds = {(w[0], w[7]) for w in want.values()}
+    assert {("matched", "similarity"), ("matched", "numeric_constant_jaccard"), ("ambiguous", "unresolved_numeric_constant_jaccard"), ("ambiguous", "numeric_constant_jaccard_unavailable"), ("no_match", None)} <= kinds
 
 
 def test_alignment(spark):

@@ -50,6 +50,6 @@ def test_retrieval_by_insertions_and_deletions(spark):
     code = "if(a1>0x10){return f(a1,7);}" * 4
     rows = [(1, ix, code), (2, ix, code.replace("7", "8", 1)), (3, ix, "while(x){y();}"), (4, ix, code + ";;")]
     df = spark.createDataFrame(rows, "id long, index struct<arg_count int, return_type string, loc int, full_loc int>, text string").withColumn("src", F.col("text")).withColumn("numbers", number_tokens(F.col("text")))
-    got = {r["id"]: (r["match"]["id"] if r["match"] else None, r["retrieval"]["best_score"]) for r in retrieve.retrieve(df, df, similarity.indel_ratio, "text", "src", "numbers", not_self=True).collect()}
+    got = {r["id"]: (r["match"]["id"] if r["match"] else None, r["retrieval"]["best_score"]) for r in retrieve.retrieve(df, df, "text", "src", "numbers", not_self=True).collect()}
     assert got[3][0] is None
     assert got[1][0] in (2, 4) and got[1][1] == pytest.approx(200 * len(code) / (2 * len(code) + 2))
