@@ -166,9 +166,11 @@ def test_layout_copies(spark):
     want = {("functions", g[0], x) for g in groups.values() for x in g[1:]}
     assert {tuple(r) for r in layout.copies(recs).collect()} == want
     assert {r["first_id"]: r["copies"] for r in layout.collapse(recs).collect()} == {g[0]: len(g) for g in groups.values()}
+    assert {tuple(r) for r in layout.copies(recs, hot=4).collect()} == want
+    assert {r["first_id"]: r["copies"] for r in layout.collapse(recs, hot=3).collect()} == {g[0]: len(g) for g in groups.values()}
     assert layout.copies(recs.where("false")).count() == 0
     # Equal fingerprints of unequal records are told apart by their fields.
-    clash = recs.withColumns({c: F.lit(1).cast("long") for c in ("f1", "f2", "f3", "f4")})
+    clash = recs.withColumns({c: F.lit(1).cast("long") for c in ("f1", "f2")})
     assert {tuple(r) for r in layout.copies(clash).collect()} == want
 
 
