@@ -25,16 +25,21 @@ def p1_links(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.links(neardup.features(functions), neardup.keys(functions)).withColumnRenamed("id", "func_id")
 
 
+def _flagged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    runs = table(spark, folder, "predictions")
+    return runs, qa.flag(runs, qa.fit(table(spark, folder, "documents"), runs))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return qa.flag(table(spark, folder, "predictions"))
+    return _flagged(spark, folder)[1]
 
 
 def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs and share of each defect per model_run; good pairs have the defect ``none``."""
-    runs = table(spark, folder, "predictions")
-    flagged = runs.select("pred_id", "model_run").join(qa.flag(runs), "pred_id", "left")
-    counted = flagged.groupBy("model_run", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("pairs"))
-    return counted
+    runs, flagged = _flagged(spark, folder)
+    kinds = runs.select("pred_id", "model_run").join(flagged, "pred_id", "left")
+    counted = kinds.groupBy("model_run", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("pairs"))
+    return counted.withColumn("share", F.round(F.col("pairs") / F.sum("pairs").over(Window.partitionBy("model_run")), 9))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

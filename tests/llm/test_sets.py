@@ -8,7 +8,56 @@ from pyspark.sql import functions as F
 
 from nameforge.llm import mixing, packing, qa, splits, tokens
 
+TEXTS = [
+    ("en", "The function reads a file and returns the size of the list. This variable holds the next element, while the other one points to the output buffer. It seems to be a counter of the entries that are left. Please check whether the name fits the code."),
+    ("de", "Die Funktion liest eine Datei und gibt die Länge der Liste zurück. Diese Variable hält das nächste Element, während die andere auf den Puffer zeigt. Vermutlich ist es ein Zähler für die Einträge. Der Schlüssel steht hier, der Knoten dort; Zeiger, Antwort, Fehler, Größe, Verzeichnis und Speicher."),
+    ("fr", "La fonction lit un fichier et renvoie la taille de la liste. Cette variable garde le prochain élément, tandis que l'autre désigne le tampon de sortie. C'est sans doute un compteur des entrées. La clé, le noeud, la longueur, l'erreur, le pointeur, la réponse, le tableau et la chaîne."),
+    ("es", "La función lee un archivo y devuelve el tamaño de la lista. Esta variable guarda el siguiente elemento, mientras que la otra apunta al búfer de salida. Parece ser un contador de las entradas. La clave, el nodo, la longitud, el fallo, el puntero, la respuesta, la memoria, el hilo y la cadena."),
+    ("ru", "Функция читает файл и возвращает размер списка. Эта переменная хранит следующий элемент, а другая указывает на буфер. Это имя ключа, ответ, ошибка и узел."),
+    ("zh-CN", "该函数读取文件并返回列表的大小。这个变量保存下一个元素，另一个指向缓冲区。这可能是计数器，长度，节点，密钥，响应。"),
+    ("und", "sub_40 0x40"),
+]
+NAMES = "len buf_ptr sum_count list_size add_entry main go init_cfg out_buffer next_node read_file error_code free_list key_idx hash_table get_name str_len cmp_key counter tmp_value root_path end_off pool slot queue sorry_flag cannot_open refuse unable_count sum add first second x y".split()
 PROMPT = "<code>\nint f(int a1)\n{\n  int v2; // eax\n  v2 = sub_40(a1, 3);\n  return v2 + a1 * 7;\n}\n</code>\npredict the original names of a1, v2, sub_40, f."
+GOOD = "a1:len, v2:sum, sub_40:add, f:main"
+MODEL = qa.learn(TEXTS, NAMES, [(PROMPT, f"Here is my best guess.\n{GOOD}"), (PROMPT, f"I cannot be certain, but this fits best.\n{GOOD}"), (PROMPT, f"{GOOD}. Unfortunately one name is only a guess."), (PROMPT, f"Here are the names: {GOOD} That is all."), (PROMPT, None), (None, "x")])
+
+
+@pytest.mark.parametrize(
+    "response",
+    [
+        "Sorry, but that's beyond what I'm prepared to handle",
+        "I'm afraid I can't do that.",
+        "Unfortunately this isn't something I'm able to help with.",
+        "I'd rather not answer that.",
+        "My guidelines forbid me from renaming these.",
+        "We are not permitted to process this.",
+        "I will have to pass on this one.",
+        "Apologies, I am not in a position to assist.",
+        "Helping here goes against my policies",
+        "I won't be renaming anything in this code",
+        "a1: Regrettably I have to turn this down. I refuse to name it",
+    ],
+)
+def test_refusals_in_other_words(response):
+    assert qa.defect(PROMPT, response, MODEL) == "refusal"
+
+
+@pytest.mark.parametrize(
+    "response",
+    [
+        "De variabele a1 bevat de lengte van de lijst en v2 wijst naar de buffer.",
+        "Zmienna a1 przechowuje długość listy, a v2 wskazuje na bufor wyjściowy.",
+        "Muuttuja a1 sisältää listan pituuden ja v2 osoittaa puskuriin.",
+        "A variável a1 guarda o tamanho da lista e v2 aponta para a memória.",
+        "a1:dlugosc, v2:wskaznik, sub_40:licznik, f:klucz",
+        "a1:laengd, v2:pekare, sub_40:raeknare, f:nyckel",
+        "a1:comprimento, v2:ponteiro, sub_40:resposta, f:seguinte",
+        "a1:μήκος, v2:δείκτης, sub_40:λίστα, f:κλειδί",
+    ],
+)
+def test_languages_that_were_not_learnt(response):
+    assert qa.defect(PROMPT, response, MODEL) == "language"
 
 
 @pytest.mark.parametrize(
@@ -22,6 +71,7 @@ PROMPT = "<code>\nint f(int a1)\n{\n  int v2; // eax\n  v2 = sub_40(a1, 3);\n  r
         ("", "empty"),
         (" \u200b\n", "empty"),
         ("N/A", "empty"),
+        ("(intentionally left blank)", "empty"),
         ("{}", "empty"),
         ("a1:, v2:, sub_40:, f:", "empty"),
         ('{"a1": null, "v2": null, "sub_40": null, "f": null}', "empty"),
@@ -44,7 +94,7 @@ PROMPT = "<code>\nint f(int a1)\n{\n  int v2; // eax\n  v2 = sub_40(a1, 3);\n  r
     ],
 )
 def test_defects(response, want):
-    assert qa.defect(PROMPT, response) == want
+    assert qa.defect(PROMPT, response, MODEL) == want
 
 
 def test_asked():
@@ -69,9 +119,14 @@ def test_flag(spark):
         (None, PROMPT, "", []),
     ]
     df = spark.createDataFrame(rows, f"pred_id long, input string, predict string, answer_and_probs {answer}").withColumn("prompt", F.lit(1)).withColumn("response", F.lit(2))
-    got = sorted(((r["pred_id"] or -1, r["defect"]) for r in qa.flag(df).collect()))
+    got = sorted(((r["pred_id"] or -1, r["defect"]) for r in qa.flag(df, MODEL).collect()))
     assert got == [(-1, "empty"), (3, "refusal"), (4, "empty"), (5, "empty"), (6, "empty"), (8, "empty"), (9, "truncated"), (9, "truncated")]
-    assert qa.flag(df.where("false")).count() == 0
+    assert qa.flag(df.where("false"), MODEL).count() == 0
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(TEXTS * 2)] + [(99, None, "x"), (98, "en", None)], "doc_id long, lang string, text string")
+    named = df.withColumn("func_id_maps", F.create_map(F.lit("f"), F.lit("main"))).withColumn("var_id_maps", F.lit(None).cast("map<string,string>"))
+    model = qa.fit(docs, named)
+    assert set(model.grams) == {"en", "de", "fr", "es", "ru", "zh"} and "main" in model.english
+    assert qa.fit(docs.where("false"), named.where("false")).grams.keys() <= {"en"}
 
 
 def _components(edges, nodes):
