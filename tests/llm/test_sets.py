@@ -10,6 +10,7 @@ from nameforge.llm import mixing, packing, qa, splits, tokens
 
 TEXTS = [
     ("en", "The function reads a file and returns the size of the list. This variable holds the next element, while the other one points to the output buffer. It seems to be a counter of the entries that are left. Please check whether the name fits the code."),
+    ("en", "Somebody who knows the program and its source may ask other people for instructions. Naming things is hard, and a breach of these rules would be a problem. We do that with care."),
     ("de", "Die Funktion liest eine Datei und gibt die Länge der Liste zurück. Diese Variable hält das nächste Element, während die andere auf den Puffer zeigt. Vermutlich ist es ein Zähler für die Einträge. Der Schlüssel steht hier, der Knoten dort; Zeiger, Antwort, Fehler, Größe, Verzeichnis und Speicher."),
     ("fr", "La fonction lit un fichier et renvoie la taille de la liste. Cette variable garde le prochain élément, tandis que l'autre désigne le tampon de sortie. C'est sans doute un compteur des entrées. La clé, le noeud, la longueur, l'erreur, le pointeur, la réponse, le tableau et la chaîne."),
     ("es", "La función lee un archivo y devuelve el tamaño de la lista. Esta variable guarda el siguiente elemento, mientras que la otra apunta al búfer de salida. Parece ser un contador de las entradas. La clave, el nodo, la longitud, el fallo, el puntero, la respuesta, la memoria, el hilo y la cadena."),
@@ -37,6 +38,12 @@ MODEL = qa.learn(TEXTS, NAMES, [(PROMPT, f"Here is my best guess.\n{GOOD}"), (PR
         "Helping here goes against my policies",
         "I won't be renaming anything in this code",
         "a1: Regrettably I have to turn this down. I refuse to name it",
+        # In none of the templates' words:
+        "This request violates the usage policy, so no names today.",
+        "Naming these would breach my instructions.",
+        "We don't do that with programs of other people.",
+        "My apologies, but this lies outside my remit.",
+        "Please ask somebody who owns the source.",
     ],
 )
 def test_refusals_in_other_words(response):
