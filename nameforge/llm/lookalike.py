@@ -8,6 +8,7 @@ the result occurs in the vocabulary of the corpus.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import unicodedata
@@ -65,7 +66,9 @@ def _back(table: dict[str, str]) -> dict[int, str]:
 _TO = {"c": _back(CYRILLIC) | {ord(g): k for g in GREEK for k, v in CYRILLIC.items() if v == GREEK[g]}, "g": _back(GREEK) | {ord(c): k for c in CYRILLIC for k, v in GREEK.items() if v == CYRILLIC[c]}, "l": _TO_LATIN}
 
 
-_ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_PLAIN)) + "]")
+# Runs of what is to be changed; characters beyond the first plane apart, as they slow the search down.
+_ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_PLAIN) if c < 0x10000) + "]+")
+_FAR = re.compile("[" + "".join(chr(c) for c in sorted(_PLAIN) if c >= 0x10000) + "]+")
 
 
 def plain(text: str) -> str:
@@ -77,7 +80,9 @@ def plain(text: str) -> str:
         except UnicodeEncodeError:
             odd = True
         if odd:
-            text = _ODD.sub(lambda m: _PLAIN[ord(m[0])] or "", text)
+            text = _ODD.sub(lambda m: m[0].translate(_PLAIN), text)
+            if max(text, default="") > "\uffff":
+                text = _FAR.sub("", text)
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
     return text.replace("\r\n", "\n") if "\r" in text else text
@@ -123,31 +128,42 @@ def swaps(text: str) -> dict[str, list[str]]:
     order: list[str] = []
     out = {}
     for token in set(_TOKEN.findall(text)):
-        if any(p.fullmatch(token) and _ANCHOR[k].search(token) for k, p in _PURE.items()):
+        ways = _ways(token)
+        if not ways:
             continue
-        scripts = _scripts(token)
-        if not scripts:
-            continue
-        own = _anchors(token)
-        if any(own.values()):
-            if len(scripts) < 2:
-                continue
-            ways = [max("lcg", key=lambda s: own[s])]
-        elif not token.isalpha():
-            ways = ["l"]
-        else:
+        if len(ways) > 1:
             if not order:
                 total = _anchors(text)
                 order = sorted("lcg", key=lambda s: -total[s])
-            ways = order
-        forms = [unicodedata.normalize("NFC", token.translate(_TO[w])) for w in ways]
-        if len(ways) > 1:
-            forms = [f for f in forms if len(_scripts(f)) == 1]
-        if forms and forms[0] != token:
+            forms = [f for s in order if (f := dict(ways).get(s))]
+        else:
+            forms = [ways[0][1]]
+        if forms[0] != token:
             out[token] = forms
     return out
 
 
+@functools.lru_cache(maxsize=1 << 17)
+def _ways(token: str) -> tuple[tuple[str, str], ...]:
+    """(script, token in it) for each script that may be meant; none where the token is as it should be."""
+    if any(p.fullmatch(token) and _ANCHOR[k].search(token) for k, p in _PURE.items()):
+        return ()
+    scripts = _scripts(token)
+    if not scripts:
+        return ()
+    own = _anchors(token)
+    if any(own.values()):
+        if len(scripts) < 2:
+            return ()
+        ways = [max("lcg", key=lambda s: own[s])]
+    else:
+        ways = list("lcg") if token.isalpha() else ["l"]
+    forms = [(w, unicodedata.normalize("NFC", token.translate(_TO[w]))) for w in ways]
+    if len(ways) > 1:
+        forms = [(w, f) for w, f in forms if len(_scripts(f)) == 1]
+    return tuple(forms)
+
+
 def repair(text: str, accepted: dict[str, str]) -> str:
     """A plain text with the accepted rewritings of its tokens."""
     return _TOKEN.sub(lambda m: accepted.get(m[0], m[0]), text) if accepted else text
@@ -180,8 +196,8 @@ def survey(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return checkpoint(rows.mapInArrow(run, "id long, raw binary, form binary, text string, swaps map<string,array<string>>"))
 
 
-#: Makes blanks of the ASCII characters that are no letters.
-_CUT = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+#: Makes blanks of the Latin-1 characters that are no letters.
+_CUT = bytes(c if c >= 0xC0 or (c < 128 and chr(c).isalpha()) else 32 for c in range(256))
 #: Words of a token: its runs of letters.
 _RUN = re.compile(r"[A-Za-z\u00c0-\u024f\u0300-\u036f\u0370-\u03ff\u0400-\u052f]+")
 #: Parts of each doubtful token, so that one in very many rows is no hot key.
@@ -193,22 +209,23 @@ def vocabulary(df: DataFrame, text: str, flush: int = 200_000) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: set[bytes] = set()
+        wide: set[str] = set()
 
         def words() -> pa.RecordBatch:
-            sure = [w for w in map(bytes.decode, held) if w.isascii() or len(_scripts(w)) == 1]
-            return pa.RecordBatch.from_arrays([pa.array(sure, pa.string())], names=["word"])
+            return pa.RecordBatch.from_arrays([pa.array([*(w.decode("latin-1") for w in held), *wide], pa.string())], names=["word"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 p = plain(t)
-                if p.isascii():
-                    held.update(p.encode().translate(_CUT).split())
-                else:
-                    held.update(w.encode() for w in set(_RUN.findall(p)))
-                if len(held) >= flush:
+                try:
+                    held.update(p.encode("latin-1").translate(_CUT).split())
+                except UnicodeEncodeError:
+                    wide.update(w for w in set(_RUN.findall(p)) if w.isascii() or len(_scripts(w)) == 1)
+                if len(held) + len(wide) >= flush:
                     yield words()
                     held.clear()
-        if held:
+                    wide.clear()
+        if held or wide:
             yield words()
 
     return df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "word string").distinct()
