@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nameforge.functions import code, names, pairs, similarity, text
 from nameforge.operators import align, answers, curate, dedup, metrics, propagate, retrieve
-from nameforge.plans import generate, prompts
+from nameforge.plans import generate, prompts, summaries
 from nameforge.plans.corpus import table
 from nameforge.session import checkpoint, spread
 from nameforge.streaming import incremental
@@ -342,7 +342,7 @@ k AS (SELECT t, count(*) AS top, min(c) AS one, count(*) FILTER (j IS NULL) AS g
 m AS (SELECT j.t, count(*) AS topj, min(c) AS jc FROM j JOIN k ON j.t = k.t AND j.j = k.j1 GROUP BY j.t),
 n AS (SELECT j.t, max(j) AS j2 FROM j JOIN k ON j.t = k.t AND j.j < k.j1 GROUP BY j.t)
 SELECT r.id, CASE WHEN NOT has THEN 'missing_index' WHEN ix.loc BETWEEN 1 AND 1 THEN 'short_loc' WHEN top IS NULL THEN 'no_match' WHEN top = 1 THEN 'matched' WHEN gaps > 0 THEN 'ambiguous' WHEN topj = 1 THEN 'matched' ELSE 'ambiguous' END AS status,
-  CASE WHEN top = 1 THEN one WHEN top > 1 AND gaps = 0 AND topj = 1 THEN jc END AS match_id, CASE WHEN top IS NOT NULL THEN 100.0 END AS best, CASE WHEN top > 1 THEN 100.0 END AS second, coalesce(top, 0) AS qualified, coalesce(sized, 0) AS sized, coalesce(top, 0) AS top,
+  CASE WHEN top = 1 THEN one WHEN top > 1 AND gaps = 0 AND topj = 1 THEN jc END AS match_id, CASE WHEN top IS NOT NULL THEN CAST(100 AS DOUBLE) END AS best, CASE WHEN top > 1 THEN CAST(100 AS DOUBLE) END AS second, coalesce(top, 0) AS qualified, coalesce(sized, 0) AS sized, coalesce(top, 0) AS top,
   CASE WHEN top = 1 THEN 'similarity' WHEN gaps > 0 THEN 'numeric_constant_jaccard_unavailable' WHEN topj = 1 THEN 'numeric_constant_jaccard' WHEN topj > 1 THEN 'unresolved_numeric_constant_jaccard' END AS method,
   round(CASE WHEN top > 1 AND gaps = 0 THEN j1 END, 9) AS best_jaccard, round(CASE WHEN top > 1 AND gaps = 0 THEN CASE WHEN topj > 1 THEN j1 ELSE j2 END END, 9) AS second_jaccard,
   CASE WHEN top > 1 AND gaps > 0 THEN top WHEN top > 1 THEN topj ELSE 0 END AS top_jaccard
@@ -429,6 +429,22 @@ def prompt_domain(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("rec_id", prompts.cut_domain(F.col("p.prompt")).alias("prompt"), "p.no_libraries", "p.no_strings")
 
 
+@query(rf"""SELECT rec_id, CASE WHEN {_strip("coalesce(domain_summary, '')")} <> '' THEN 'completed' WHEN analysis IS NULL THEN 'missing_prompt' ELSE 'pending' END AS status, {_strip("coalesce(domain_summary, '')")} <> '' OR analysis IS NOT NULL AS summarised FROM domain_records""")
+def domain_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """The first summary stage with the offline stand-in for a model."""
+    got = summaries.domain_summaries(table(spark, folder, "domain_records"))
+    return got.select("rec_id", "status", (F.coalesce("domain_summary", F.lit("")) != "").alias("summarised"))
+
+
+@query(rf"""WITH s AS (SELECT proj, bin, min({_strip('domain_summary')}) AS lo, max({_strip('domain_summary')}) AS hi FROM domain_records WHERE {_strip('domain_summary')} <> '' GROUP BY proj, bin)
+SELECT f.func_id, CASE WHEN lo IS NULL THEN 'missing' WHEN lo = hi THEN 'found' ELSE 'conflict' END AS lookup_status, CASE WHEN lo = hi AND {_strip("coalesce(code, '')")} <> '' AND funname IS NOT NULL THEN 'pending' ELSE 'missing_prompt' END AS status
+FROM functions f LEFT JOIN s ON f.proj = s.proj AND f.bin = s.bin""")
+def identifier_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """The second summary stage over the summaries that the programs have."""
+    got = summaries.identifier_summaries(table(spark, folder, "functions"), table(spark, folder, "domain_records"))
+    return got.select("func_id", "lookup_status", "status")
+
+
 @query()
 def prompt_identifiers(spark: SparkSession, folder: str) -> DataFrame:
     rows = _called(spark, folder)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from types import ModuleType
 from typing import Protocol
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nameforge.functions.text import strip
 from nameforge.operators.curate import clean, split_by_presence
 from nameforge.operators.propagate import callee_context, callsite_context
 from nameforge.plans.prompts import context_prompt, prompt, retrieval_prompt, targets
@@ -34,13 +40,22 @@ def echo_names() -> Generator:
     return answer
 
 
+def _once(make: Callable[[], Generator], name: str) -> Generator:
+    """The model of this Python worker: made when its first task needs it, kept for the next ones."""
+    held = sys.modules.setdefault("_nameforge_models", ModuleType("_nameforge_models")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def generate(df: DataFrame, prompt_col: str, output: str, make: Callable[[], Generator] = echo_names, batch: int = 256) -> DataFrame:
     """df with ``output``: the model's answer to each prompt, NULL for a NULL prompt. Rows are independent of their batch."""
     rest = [c for c in df.columns if c != output]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.select(*rest).dtypes), f"`{output}` string"])
+    name = hashlib.sha256(cloudpickle.dumps(make)).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = make()
+        model = _once(make, name)
         for b in batches:
             asked = b.column(rest.index(prompt_col)).to_pylist()
             at = [k for k, p in enumerate(asked) if p is not None]
@@ -91,6 +106,43 @@ def rounds(df: DataFrame, loops: int, ord_col: str = "ord", make: Callable[[], G
     return state
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Settings of a run, checked when they are made."""
+
+    loops: int = 1
+    batch: int = 8192
+    most_input: int = 16384
+    most_output: int = 16384
+    memory_share: float = 0.9
+
+    def __post_init__(self) -> None:
+        for n in ("batch", "most_input", "most_output"):
+            v = getattr(self, n)
+            if isinstance(v, bool) or not isinstance(v, int) or v <= 0:
+                raise ValueError(f"{n} must be a whole number above 0, not {v!r}")
+        if isinstance(self.loops, bool) or not isinstance(self.loops, int) or self.loops < 0:
+            raise ValueError(f"loops must be a whole number of 0 or more, not {self.loops!r}")
+        if not 0 < self.memory_share <= 1:
+            raise ValueError(f"memory_share must be above 0 and at most 1, not {self.memory_share!r}")
+
+
+def dry_run(df: DataFrame, settings: Settings, ord_col: str = "ord", tokens: Callable[[Column], Column] = words_count) -> DataFrame:
+    """One row about what ``rounds`` would do with df in its anchor round; no model is asked.
+
+    records, known (with a similar function), too_long, no_label, and the calls of the
+    model: batches of the anchor round, and of each round after it at most.
+    """
+    asked = targets(F.col("params"), F.col("variables"), F.col("funname"), F.col("callees"))
+    text = retrieval_prompt(F.col("similar"), F.col("code"), asked)
+    n = tokens(F.concat(F.coalesce(text, F.lit("")), F.coalesce("output", F.lit(""))))
+    blank = F.coalesce(strip(F.col("output")), F.lit("")) == ""
+    fits = ~blank & (n <= settings.most_input)
+    counts = df.agg(F.count(ord_col).alias("records"), F.count("similar").alias("known"), F.count_if(~blank & (n > settings.most_input)).alias("too_long"), F.count_if(blank).alias("no_label"), F.count_if(fits & F.col("similar").isNotNull()).alias("_a"), F.count_if(fits).alias("_b"))
+    calls = [F.ceil(F.col(c) / settings.batch).alias(a) for c, a in (("_a", "anchor_batches"), ("_b", "batches_a_round"))]
+    return counts.select("records", "known", "too_long", "no_label", *calls, F.lit(settings.loops).alias("loops"))
+
+
 def encode(df: DataFrame, text: str, label: str, tokenize: Callable[[], Callable[[str], list[int]]], eos: int, most: int, cut: bool = False) -> DataFrame:
     """(input_ids, attention_mask, labels), each ``most`` long, of prompt and answer with an end mark.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,26 +14,20 @@ from pyspark.sql.types import StructType
 SUFFIXES = {".json": "json", ".result": "json", ".decompiled": "json", ".jsonl": "jsonl"}
 
 
-def detect(path: str) -> str:
-    """json or jsonl, by the first non-blank line of a local file and its name."""
-    with open(path, encoding="utf-8") as f:
-        first = ""
-        for line in f:
-            if line.strip():
-                first = line.strip()
-                break
-        else:
-            return "jsonl" if path.endswith(".jsonl") else "json"
-        more = any(line.strip() for line in f)
+def detect(spark: SparkSession, path: str) -> str:
+    """json or jsonl, by the first two non-blank lines of a file on any file system and its name."""
+    heads = spark.read.text(path).where(F.trim("value") != "").limit(2).collect()
+    first = heads[0]["value"].strip() if heads else ""
     if first.startswith("["):
         return "json"
+    lined = path.endswith(".jsonl")
+    if not first:
+        return "jsonl" if lined else "json"
     try:
         value = json.loads(first)
     except ValueError:
         return "json"
-    if not isinstance(value, dict):
-        return "json"
-    return "jsonl" if path.endswith(".jsonl") or more else "json"
+    return "jsonl" if isinstance(value, dict) and (lined or len(heads) > 1) else "json"
 
 
 def read_lines(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
@@ -52,6 +47,23 @@ def read_array(spark: SparkSession, path: str, schema: StructType | str, glob: s
     return reader.json(path).withColumn("_file", F.col("_metadata.file_path"))
 
 
+def read_by_suffix(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Records of a file or folder by its ending: arrays (.json, .result, .decompiled) or lines (.jsonl); another ending has none."""
+    kind = SUFFIXES.get(os.path.splitext(path.rstrip("/"))[1].lower())
+    if kind == "json":
+        return read_array(spark, path, schema).drop("_file")
+    return read_lines(spark, path, schema) if kind == "jsonl" else spark.createDataFrame([], schema)
+
+
+def read_clusters(spark: SparkSession, path: str, most: int = 20_000) -> dict[str, list[int]]:
+    """The word clusters of a JSON file {word: [numbers]}, a side table of at most ``most`` words, for ``similarity.cluster_match``."""
+    entries = spark.read.text(path, wholetext=True).select(F.explode(F.map_entries(F.from_json("value", "map<string,array<int>>"))).alias("e"))
+    rows = entries.select("e.key", "e.value").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} words")
+    return {r["key"]: r["value"] for r in rows}
+
+
 def read_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Files of any of the forms. In an array, objects count, lists in it are flattened one level, other values are dropped."""
 

@@ -7,6 +7,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write(df: DataFrame, path: str, form: str = "parquet", mode: str = "overwrite") -> None:
@@ -19,6 +20,25 @@ def write(df: DataFrame, path: str, form: str = "parquet", mode: str = "overwrit
         raise ValueError(f"unknown form {form!r}")
 
 
+def write_in_batches(df: DataFrame, path: str, key: str, batches: int) -> int:
+    """df in ``batches`` parts by hash of a key, each committed on its own; parts that stand already are left alone.
+
+    A run that breaks off goes on where it stopped when it is started again with the same
+    number of batches. Returns the number of parts written now. Read them back from ``path``.
+    """
+    spark = df.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    made = 0
+    for k in range(batches):
+        part = f"{path.rstrip('/')}/batch={k}"
+        if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{part}/_SUCCESS")):
+            continue
+        df.where(F.pmod(F.xxhash64(key), F.lit(batches)) == k).write.mode("overwrite").parquet(part)
+        made += 1
+    return made
+
+
 def export_file(df: DataFrame, path: str, ord_col: str) -> int:
     """One local .json (array) or .jsonl file in record order, replaced in one step; returns the number of records.
 
@@ -44,6 +64,6 @@ def export_file(df: DataFrame, path: str, ord_col: str) -> int:
 
 
 def write_with_errors(good: DataFrame, bad: DataFrame, path: str) -> None:
-    """Main output and, beside it, what could not be read."""
+    """Main output and, beside it, what could not be read. Both read what they have in common twice: checkpoint it before."""
     write(good, path, "jsonl")
     write(bad, path.rstrip("/") + ".dbg", "jsonl")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nameforge.functions.similarity import lcs
 from nameforge.operators import align, answers, curate, dedup, metrics, propagate, retrieve, skew
-from nameforge.plans import generate, prompts
+from nameforge.plans import generate, prompts, summaries
 from nameforge.sources import records, sinks
 from nameforge.streaming import incremental
 
@@ -237,7 +237,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"x": 1}\n\n{"x": 2}\n')
     (tmp_path / "c.json").write_text('{\n "x": 7\n}')
     (tmp_path / "bad.jsonl").write_text('{"x": 1}\nnot json\n')
-    assert [records.detect(str(tmp_path / f)) for f in ("a.json", "b.jsonl", "c.json")] == ["json", "jsonl", "json"]
+    assert [records.detect(spark, str(tmp_path / f)) for f in ("a.json", "b.jsonl", "c.json")] == ["json", "jsonl", "json"]
     assert sorted(r["x"] for r in records.read_any(spark, str(tmp_path / "a.json"), "x int").collect()) == [1, 2]
     assert sorted(r["x"] for r in records.read_any(spark, str(tmp_path / "b.jsonl"), "x int").collect()) == [1, 2]
     assert [r["x"] for r in records.read_any(spark, str(tmp_path / "c.json"), "x int").collect()] == [7]
@@ -284,3 +284,81 @@ def test_stream(spark, tmp_path):
     df.limit(1).withColumn("id", F.lit(9).cast("long")).write.mode("append").parquet(str(src))
     incremental.run(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_sources_by_suffix_and_clusters(spark, tmp_path):
+    at = str(tmp_path)
+    for name, body in (("a.json", '[{"x": 1}, {"x": 2}]'), ("b.jsonl", '{"x": 3}\n{"x": 4}\n'), ("c.result", '[{"x": 5}]'), ("d.txt", "x")):
+        (tmp_path / name).write_text(body)
+    got = {n: sorted(r["x"] for r in records.read_by_suffix(spark, f"{at}/{n}", "x int").collect()) for n in ("a.json", "b.jsonl", "c.result", "d.txt")}
+    assert got == {"a.json": [1, 2], "b.jsonl": [3, 4], "c.result": [5], "d.txt": []}
+    (tmp_path / "w.json").write_text('{"len": [1, 2], "size": [2]}')
+    assert records.read_clusters(spark, f"{at}/w.json") == {"len": [1, 2], "size": [2]}
+    with pytest.raises(ValueError):
+        records.read_clusters(spark, f"{at}/w.json", most=1)
+
+
+def test_batches_go_on_where_they_stopped(spark, tmp_path):
+    df = spark.range(50).select("id", (F.col("id") * 2).alias("v"))
+    path = f"{tmp_path}/out"
+    assert sinks.write_in_batches(df, path, "id", 4) == 4
+    import shutil
+
+    shutil.rmtree(f"{path}/batch=2")
+    assert sinks.write_in_batches(df, path, "id", 4) == 1
+    assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [2 * i for i in range(50)]
+
+
+def test_main_and_error_outputs(spark, tmp_path):
+    df = spark.createDataFrame([(1, [({"Error": "nothing"}, 0.5), ({"k": "v"}, 0.1)])], "id int, answer_and_probs array<struct<answer map<string,string>, prob double>>")
+    good, bad = answers.with_errors(answers.ranked(df, "id"))
+    sinks.write_with_errors(good, bad, f"{tmp_path}/o")
+    assert spark.read.json(f"{tmp_path}/o").count() == 1 and spark.read.json(f"{tmp_path}/o.dbg").first()["error"] == "nothing"
+
+
+def test_skip_rules_and_first_answers(spark):
+    got = spark.createDataFrame([(1, "v1", 0, 0.1, "a"), (1, "v1", 1, 0.9, "b"), (1, "v2", 0, 0.5, "c"), (1, "v3", 0, 0.5, "d")], "id int, name string, pos int, prob double, value string")
+    truth = spark.createDataFrame([(1, "v1", "size"), (1, "v2", "v2"), (1, "v3", "i"), (1, "v4", "len")], "id int, name string, gt string")
+    rows = answers.to_score(got, truth, ["id"])
+    assert sorted((r["name"], r["value"]) for r in rows.collect()) == [("v1", "a"), ("v1", "b")]
+    assert [(r["name"], r["value"]) for r in answers.first(rows, ["id", "name"]).collect()] == [("v1", "a")]
+
+
+def test_settings_and_dry_run(spark):
+    for bad in ({"batch": 0}, {"most_input": "9"}, {"loops": -1}, {"loops": True}, {"memory_share": 0.0}, {"memory_share": 1.5}):
+        with pytest.raises(ValueError):
+            generate.Settings(**bad)
+    rows = [(1, "f", "f()", [], [], [], "f:x", "known code"), (2, "g", "g()", [], [], [], "g:y", None), (3, "h", "h()", [], [], [], " ", "k"), (4, "k", "k()", [], [], [], "k:z " * 30, None)]
+    df = spark.createDataFrame(rows, "ord long, funname string, code string, callees array<string>, params array<string>, variables array<string>, output string, similar string")
+    got = generate.dry_run(df, generate.Settings(loops=2, batch=1, most_input=20)).first().asDict()
+    assert got == {"records": 4, "known": 2, "too_long": 1, "no_label": 1, "anchor_batches": 1, "batches_a_round": 2, "loops": 2}
+
+
+def test_models_are_made_once_a_worker(spark, tmp_path):
+    log = str(tmp_path / "made")
+
+    def make():
+        with open(log, "a") as f:
+            f.write("x")
+        return lambda asked: [p.upper() for p in asked]
+
+    df = spark.range(40).select("id", F.concat(F.lit("p"), "id").alias("prompt"))
+    for _ in range(2):
+        assert {r["answer"] for r in generate.generate(df.repartition(8), "prompt", "answer", make).collect()} == {f"P{i}" for i in range(40)}
+    assert len(open(log).read()) <= 8
+
+
+def test_summary_stages(spark):
+    evidence = "struct<project_name string, file_output string, ldd_output string, strings_truncated string>"
+    programs = spark.createDataFrame([("p", "a", ("p", "ELF", "libc", "hello"), None), ("p", "b", ("p", "ELF", "", ""), " done "), ("p", "c", None, None)], f"proj string, bin string, analysis {evidence}, domain_summary string")
+    made = summaries.domain_summaries(programs, lambda: lambda asked: [f" about {len(p)} " for p in asked])
+    got = {r["bin"]: r for r in made.collect()}
+    assert [got[k]["status"] for k in "abc"] == ["pending", "completed", "missing_prompt"]
+    assert got["a"]["domain_summary"] == f"about {len(got['a']['input'])}" and got["b"]["domain_summary"] == " done " and got["c"]["domain_summary"] is None
+    again = {r["bin"]: r["domain_summary"] for r in summaries.domain_summaries(programs, lambda: lambda asked: ["new" for _ in asked], overwrite=True).collect()}
+    assert again == {"a": "new", "b": "new", "c": None}
+    functions = spark.createDataFrame([(1, "p", "a", "f", "int f() {}"), (2, "p", "c", "g", "g"), (3, "p", "b", "h", " "), (4, "p", "b", "k", "k()")], "func_id long, proj string, bin string, funname string, code string")
+    functions = functions.withColumns({"callees": F.array(F.lit("z:z()")), "params_aligned": F.lit(None).cast("map<string,string>"), "vars_aligned": F.create_map(F.lit("v1"), F.lit("x"))})
+    rows = {r["func_id"]: r for r in summaries.identifier_summaries(functions, made, lambda: lambda asked: ["s" for _ in asked]).collect()}
+    assert [(rows[i]["lookup_status"], rows[i]["status"], rows[i]["identifier_summary"]) for i in (1, 2, 3, 4)] == [("found", "pending", "s"), ("missing", "missing_prompt", None), ("found", "missing_prompt", None), ("found", "pending", "s")]
+    assert "VAR: v1\nFUNC: f\nCALL: z" in rows[1]["input"]
