@@ -384,7 +384,27 @@ def propagate_callees(spark: SparkSession, folder: str) -> DataFrame:
     return propagate.callee_context(_called(spark, folder), "ord", "predict", params="params").select("ord", F.array_join("predict_callees", "|").alias("predict_callees"))
 
 
-@query()
+_CODE_LINES = _lines("code")
+_CALL_LINES = rf"""WITH f AS (SELECT func_id, bin, code, callees, {_last_wins('m')} AS m FROM (SELECT func_id, bin, code, callees, {_MAPPED} AS m FROM functions)),
+e AS (SELECT func_id AS o, bin, code, m, unnest(range(len(callees))) AS pos, unnest(list_transform(callees, lambda c: {_strip("split_part(c, ':', 1)")})) AS callee FROM f WHERE len(m) > 0),
+h AS (SELECT o, bin, pos, callee, m, list_filter({_CODE_LINES}, lambda l: regexp_matches(l, '\b' || regexp_escape(callee) || '\s*\('))[1] AS line FROM e),
+r AS (SELECT o, bin, pos, callee, coalesce(split_part(list_filter(m, lambda x: split_part(x, chr(1), 1) = callee)[1], chr(1), 2), callee) AS name,
+        list_reduce(list_prepend(line, m), lambda acc, x: regexp_replace(acc, '\b' || regexp_escape(split_part(x, chr(1), 1)) || '\b', split_part(x, chr(1), 2), 'g')) AS line FROM h WHERE line IS NOT NULL),
+l AS (SELECT o, bin, pos, callee, coalesce(nullif({_strip("regexp_extract(line, '@b' || regexp_escape(name) || '@s*@([^)]*@)')".replace("@", chr(92)))}, ''), line) AS line FROM r)"""
+
+
+@query(f"{_CALL_LINES} SELECT o AS func_id, pos, line FROM l")
+def call_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The first call of each callee in a function's code, with predicted names: what callsite_context hands on."""
+    rows = _called(spark, folder).withColumn("m", propagate.mapping(F.col("predict"))).where(F.size("m") > 0)
+    calls = rows.select("func_id", "code", "m", F.posexplode("callees").alias("pos", "c")).select("func_id", F.col("pos").cast("long").alias("pos"), propagate.call_line(F.col("code"), code.call_name(F.col("c")), F.col("m")).alias("line"))
+    return calls.where("line IS NOT NULL")
+
+
+@query(f"""{_CALL_LINES},
+t AS (SELECT bin, funname AS callee, max(func_id) AS ord FROM functions GROUP BY ALL),
+d AS (SELECT t.ord, line, min(o * 1000000 + pos) AS at FROM l JOIN t ON l.bin = t.bin AND l.callee = t.callee GROUP BY t.ord, line)
+SELECT f.func_id AS ord, coalesce(string_agg(line, '|' ORDER BY d.at), '') AS predict_callsites FROM functions f LEFT JOIN d ON f.func_id = d.ord GROUP BY f.func_id""")
 def propagate_callsites(spark: SparkSession, folder: str) -> DataFrame:
     return propagate.callsite_context(_called(spark, folder), "ord", "predict").select("ord", F.array_join("predict_callsites", "|").alias("predict_callsites"))
 
@@ -445,7 +465,14 @@ def identifier_summaries(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("func_id", "lookup_status", "status")
 
 
-@query()
+_BODY = f"CASE WHEN starts_with(c, 'code:') THEN CASE WHEN contains(c, chr(10)) THEN substr(c, strpos(c, chr(10)) + 1) ELSE '' END ELSE c END"
+_CALLED = _distinct("k")
+
+
+@query(f"""SELECT func_id, length(t) AS chars, md5(t) AS digest FROM (
+  SELECT func_id, CASE WHEN body <> '' THEN '{prompts.IDENTIFIER_TASK}' || chr(10) || '<SUMMARY>' || chr(10) || 'a program' || chr(10) || '</SUMMARY>' || chr(10) || '<FUNCTION_CODE>' || chr(10) || body || chr(10) || '</FUNCTION_CODE>' || chr(10) || '<IDENTIFIERS>' || chr(10)
+    || array_to_string(list_transform(list_sort(coalesce(map_keys(params_aligned), [])), lambda n: 'PARAM: ' || n) || list_transform(list_sort(coalesce(map_keys(vars_aligned), [])), lambda n: 'VAR: ' || n) || ['FUNC: ' || funname] || list_transform({_CALLED}, lambda n: 'CALL: ' || n), chr(10)) || chr(10) || '</IDENTIFIERS>' || chr(10) END AS t
+  FROM (SELECT *, {_BODY} AS body FROM (SELECT func_id, funname, params_aligned, vars_aligned, {_strip("coalesce(code, '')")} AS c, list_filter(list_transform(coalesce(callees, []), lambda e: {_strip("split_part(e, ':', 1)")}), lambda e: e <> '') AS k FROM functions)))""")
 def prompt_identifiers(spark: SparkSession, folder: str) -> DataFrame:
     rows = _called(spark, folder)
     made = prompts.identifier_prompt(F.lit("<SUMMARY> a program </SUMMARY>"), F.col("code"), F.col("params"), F.array_sort(F.map_keys("vars_aligned")), F.col("funname"), F.col("callees"))
