@@ -9,7 +9,7 @@ from nameforge.functions.names import WHITE
 from nameforge.session import Scratch, checkpoint
 
 #: Rounds whose mappings are unwound in one plan.
-UNWIND = 8
+UNWIND = 3
 
 
 def tie_key(value: Column, path: bool = False) -> Column:
