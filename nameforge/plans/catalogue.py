@@ -297,7 +297,8 @@ def summary_conflicts(spark: SparkSession, folder: str) -> DataFrame:
 def _nearest(spark: SparkSession, folder: str, keep: tuple[str, ...] = (), threshold: float = 90.0) -> DataFrame:
     """The most similar other function by the ratio of normalised code, over 90; numeric constants decide ties only."""
     rows = spread(table(spark, folder, "functions_norm").select(F.col("func_id").alias("id"), "index", F.col("norm_code").alias("code")))
-    rows = rows.withColumn("text", code.norm_placeholders(F.col("code"))).withColumn("numbers", code.numbers(F.col("code")))
+    # Written once: blocks, pairs and ties read it, and the normal form is costly.
+    rows = checkpoint(rows.withColumn("text", code.norm_placeholders(F.col("code"))).withColumn("numbers", code.numbers(F.col("code"))))
     return retrieve.retrieve(rows, rows, text="text", source="code", numbers="numbers", keep=keep, threshold=threshold, not_self=True)
 
 
