@@ -70,8 +70,3 @@ def base_name(demangled: Column) -> Column:
     operator = F.regexp_extract(demangled, r"(operator\s*(?:\(\)|\[\]|[^\s(]+))", 1)
     scoped = F.regexp_replace(bare, r"<[^<>]*>", "")
     return F.when(operator != "", operator).otherwise(F.regexp_extract(scoped, r"(~?[A-Za-z_]\w*)\s*$", 1))
-
-
-def demangle_candidates(name: Column) -> Column:
-    """The name, then without a copy suffix ``_0`` to ``_3``: what to offer to a demangler in turn."""
-    return F.array_distinct(F.array(name, F.regexp_replace(name, r"_[0-3]$", "")))

@@ -61,6 +61,12 @@ def with_errors(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return answers.where(F.col("answer").isNotNull()), answers.where(F.col("answer").isNull()).select("error", *(c for c in answers.columns if c not in ("error", "answer")))
 
 
+def error_rates(df: DataFrame, by: str, answers: str = "answer_and_probs") -> DataFrame:
+    """(by, answers, errors, error_share): answers per group, and those that are a raw text in place of a map."""
+    each = df.select(by, F.explode(answers).alias("_a")).select(by, F.coalesce(F.map_contains_key(F.col("_a.answer"), "Error"), F.lit(False)).alias("_e"))
+    return each.groupBy(by).agg(F.count("*").alias("answers"), F.count_if("_e").alias("errors"), (F.count_if("_e") / F.count("*")).alias("error_share"))
+
+
 def legacy_names(df: DataFrame, func: str = "func_name", case_study: bool = False) -> DataFrame:
     """Records whose function name is a generated one, or all for a case study."""
     return df if case_study else df.where(F.col(func).rlike("^(sub_|FUN_)"))

@@ -55,7 +55,12 @@ def best_of(df: DataFrame, keys: list[str], prob: str, tie: str, k: int = 3) ->
 
 
 def top_with_runner_up(df: DataFrame, key: str, value: str, tie: str) -> DataFrame:
-    """(key, best_id, best, second, ties): the largest value, how many have it, and the next one (the same on a tie)."""
-    most = df.groupBy(key).agg(F.max(value).alias("best"))
-    per = df.join(most, key).groupBy(key, "best").agg(F.count_if(F.col(value) == F.col("best")).alias("ties"), F.max(F.when(F.col(value) < F.col("best"), F.col(value))).alias("_below"), F.min(F.when(F.col(value) == F.col("best"), F.col(tie))).alias("best_id"))
-    return per.select(key, "best_id", "best", F.when(F.col("ties") > 1, F.col("best")).otherwise(F.col("_below")).alias("second"), "ties")
+    """(key, best_id, best, second, ties): the largest value, how many have it, and the next one (the same on a tie).
+
+    One scan: rows are combined to (key, value) before the shuffle, and the two largest of each key are kept.
+    """
+    levels = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("ties"), F.min(tie).alias("best_id"))
+    two = levels.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(value)))).where("_n <= 2")
+    first = F.col("_n") == 1
+    best = two.groupBy(key).agg(*(F.max(F.when(first, F.col(c))).alias(a) for c, a in (("best_id", "best_id"), (value, "best"), ("ties", "ties"))), F.max(F.when(~first, F.col(value))).alias("_below"))
+    return best.select(key, "best_id", "best", F.when(F.col("ties") > 1, F.col("best")).otherwise(F.col("_below")).alias("second"), "ties")

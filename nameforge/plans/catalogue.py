@@ -156,6 +156,14 @@ def callee_signatures(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("func_id", F.col("pos").cast("long").alias("pos"), code.signature(text.after_first(F.col("c"), ":")).alias("signature"))
 
 
+@query(r"""SELECT func_id, CASE WHEN n = '' THEN regexp_replace(c, '^\s+|\s+$', '', 'g') WHEN p = '' THEN n || '()' ELSE n || '(' || array_to_string(list_transform(list_filter(list_transform(string_split(p, ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda x: regexp_replace(regexp_split_to_array(x, '\s+')[-1], '[*&]', '', 'g')), ', ') || ')' END AS signature
+FROM (SELECT func_id, c, regexp_extract(c, '(?s)([A-Za-z_]\w*)\s*\((.*?)\)', 1) AS n, regexp_replace(regexp_extract(c, '(?s)([A-Za-z_]\w*)\s*\((.*?)\)', 2), '^\s+|\s+$', '', 'g') AS p
+      FROM (SELECT func_id, split_part(code, '{', 1) AS c FROM functions WHERE code IS NOT NULL))""")
+def header_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    """The signature in each function's own header."""
+    return table(spark, folder, "functions").where("code IS NOT NULL").select("func_id", code.callee_signature(F.col("code")).alias("signature"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 3 = 0 THEN 'fp' || CASE WHEN l_quantity >= 25 THEN '+' ELSE '' END || CAST(CAST(l_quantity AS BIGINT) - 25 AS VARCHAR) WHEN l_suppkey % 3 = 1 THEN 'DW_OP_reg' || CAST(l_linenumber AS VARCHAR) ELSE 'addr_0x' || CAST(l_partkey AS VARCHAR) END AS location,
   CASE l_suppkey % 3 WHEN 0 THEN 'stack' WHEN 1 THEN 'reg' ELSE 'global' END AS location_type,
   CASE WHEN l_suppkey % 3 = 0 THEN CAST(l_quantity AS BIGINT) - 25 + 8 END AS stack_end FROM lineitem""")
@@ -237,6 +245,22 @@ def align_by_address(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("func_id", F.col("other.func_id").alias("other_id"), F.coalesce("other.funname", F.lit("unknown")).alias("other_name"))
 
 
+@query("""SELECT f.func_id, o.other_id FROM functions f JOIN (
+  SELECT proj, bin, addr, func_id AS other_id FROM functions_norm QUALIFY row_number() OVER (PARTITION BY proj, bin, addr ORDER BY func_id DESC) = 1) o
+ON f.proj = o.proj AND f.bin = o.bin AND f.addr = o.addr""")
+def align_inner(spark: SparkSession, folder: str) -> DataFrame:
+    """Functions that stand in both tables."""
+    right = table(spark, folder, "functions_norm").select("proj", "bin", "addr", "func_id")
+    out = align.by_address(table(spark, folder, "functions").select("func_id", "proj", "bin", "addr"), right, ["proj", "bin", "addr"], "func_id")
+    return out.select("func_id", F.col("other.func_id").alias("other_id"))
+
+
+@query("SELECT func_id FROM functions WHERE params_aligned IS NOT NULL AND vars_aligned IS NOT NULL")
+def params_and_variables(spark: SparkSession, folder: str) -> DataFrame:
+    """Functions with both parameters and variables."""
+    return align.with_both(table(spark, folder, "functions"), "params_aligned", "vars_aligned").select("func_id")
+
+
 _ZIP = "CASE WHEN callees IS NOT NULL AND callsites IS NOT NULL THEN list_transform(range(1, least(len(callees), len(callsites)) + 1), lambda i: callees[i] || ':' || callsites[i]) END"
 
 
@@ -632,6 +656,12 @@ def answers_by_name(spark: SparkSession, folder: str) -> DataFrame:
     return answers.by_name(rows, "pred_id").groupBy("pred_id", "name").agg(F.count("*").alias("answers"), F.max("prob").alias("best"))
 
 
+@query("SELECT model_run, count(*) AS answers, count(*) FILTER (map_contains(a.answer, 'Error')) AS errors, round(count(*) FILTER (map_contains(a.answer, 'Error')) / count(*), 9) AS error_share FROM (SELECT model_run, unnest(answer_and_probs) AS a FROM predictions) GROUP BY model_run")
+def answer_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers of each run that could not be read as a map."""
+    return answers.error_rates(table(spark, folder, "predictions"), "model_run").withColumn("error_share", F.round("error_share", 9))
+
+
 def _ranked_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of every answer for each function and variable that counts; raw texts that could be read included."""
     records = table(spark, folder, "predictions")

@@ -143,8 +143,8 @@ def dry_run(df: DataFrame, settings: Settings, ord_col: str = "ord", tokens: Cal
     return counts.select("records", "known", "too_long", "no_label", *calls, F.lit(settings.loops).alias("loops"))
 
 
-def encode(df: DataFrame, text: str, label: str, tokenize: Callable[[], Callable[[str], list[int]]], eos: int, most: int, cut: bool = False) -> DataFrame:
-    """(input_ids, attention_mask, labels), each ``most`` long, of prompt and answer with an end mark.
+def encode(df: DataFrame, text: str, label: str, tokenize: Callable[[], Callable[[str], list[int]]], eos: int, most: int, cut: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(input_ids, attention_mask, labels), each ``most`` long, of prompt and answer with an end mark, and the columns to keep (an order, say).
 
     Labels of the prompt and of the padding are -100. Records without text or label
     are left out; too long ones are cut or left out.
@@ -153,20 +153,23 @@ def encode(df: DataFrame, text: str, label: str, tokenize: Callable[[], Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = tokenize()
         for b in batches:
-            rows = []
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            rows, at = [], []
+            for k, (x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 a, z = ids_of(x), [*ids_of(y), eos]
                 if len(a) + len(z) > most and not cut:
                     continue
                 ids = (a + z)[:most]
                 labels = ([-100] * len(a) + z)[:most]
                 pad = most - len(ids)
+                at.append(k)
                 rows.append((ids + [eos] * pad, [1] * len(ids) + [0] * pad, labels + [-100] * pad))
             c = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int32())) for x in c], names=["input_ids", "attention_mask", "labels"])
+            rest = [b.column(2 + k).take(pa.array(at, pa.int64())) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(x, pa.list_(pa.int32())) for x in c)], names=[*keep, "input_ids", "attention_mask", "labels"])
 
-    ready = df.where((F.col(text) != "") & (F.col(label) != "")).select(text, label)
-    return ready.mapInArrow(run, "input_ids array<int>, attention_mask array<int>, labels array<int>")
+    ready = df.where((F.col(text) != "") & (F.col(label) != "")).select(text, label, *keep)
+    kinds = dict(df.dtypes)
+    return ready.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "input_ids array<int>, attention_mask array<int>, labels array<int>"]))
 
 
 def word_ids() -> Callable[[str], list[int]]:

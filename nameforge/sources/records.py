@@ -47,6 +47,14 @@ def read_array(spark: SparkSession, path: str, schema: StructType | str, glob: s
     return reader.json(path).withColumn("_file", F.col("_metadata.file_path"))
 
 
+def read_list(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """One file that must hold an array of objects; anything else is an error."""
+    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    if not head or not head[0]["value"].lstrip().startswith("["):
+        raise ValueError(f"{path}: not a list")
+    return read_array(spark, path, schema).drop("_file")
+
+
 def read_by_suffix(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Records of a file or folder by its ending: arrays (.json, .result, .decompiled) or lines (.jsonl); another ending has none."""
     kind = SUFFIXES.get(os.path.splitext(path.rstrip("/"))[1].lower())

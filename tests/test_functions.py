@@ -138,6 +138,11 @@ def test_compiler_made(spark):
         assert one(spark, names.compiler_made(F.col("n")), n=n) is want
 
 
+def test_external_segment(spark):
+    for x, want in [(".plt", True), (".got.plt", True), ("extern", False), (".extern", True), (".text", False), (None, False)]:
+        assert one(spark, names.external_segment(F.col("n")), n=x) is want
+
+
 def test_letter_cosine(spark):
     for a, b, want in [("ab", "BA", 1.0), ("ab", "cd", 0.0), ("a1", "", 0.0), ("aab", "ab", 3 / (5**0.5 * 2**0.5))]:
         assert one(spark, similarity.letter_cosine(F.col("a"), F.col("b")), a=a, b=b) == pytest.approx(want)

@@ -292,6 +292,10 @@ def test_sources_by_suffix_and_clusters(spark, tmp_path):
         (tmp_path / name).write_text(body)
     got = {n: sorted(r["x"] for r in records.read_by_suffix(spark, f"{at}/{n}", "x int").collect()) for n in ("a.json", "b.jsonl", "c.result", "d.txt")}
     assert got == {"a.json": [1, 2], "b.jsonl": [3, 4], "c.result": [5], "d.txt": []}
+    assert sorted(r["x"] for r in records.read_list(spark, f"{at}/a.json", "x int").collect()) == [1, 2]
+    (tmp_path / "one.json").write_text('{"x": 1}')
+    with pytest.raises(ValueError):
+        records.read_list(spark, f"{at}/one.json", "x int")
     (tmp_path / "w.json").write_text('{"len": [1, 2], "size": [2]}')
     assert records.read_clusters(spark, f"{at}/w.json") == {"len": [1, 2], "size": [2]}
     with pytest.raises(ValueError):
@@ -362,3 +366,15 @@ def test_summary_stages(spark):
     rows = {r["func_id"]: r for r in summaries.identifier_summaries(functions, made, lambda: lambda asked: ["s" for _ in asked]).collect()}
     assert [(rows[i]["lookup_status"], rows[i]["status"], rows[i]["identifier_summary"]) for i in (1, 2, 3, 4)] == [("found", "pending", "s"), ("missing", "missing_prompt", None), ("found", "missing_prompt", None), ("found", "pending", "s")]
     assert "VAR: v1\nFUNC: f\nCALL: z" in rows[1]["input"]
+
+
+def test_encoding_keeps_the_order(spark):
+    df = spark.createDataFrame([(3, "a b", "c"), (1, "a " * 9, "c"), (2, "a", "b c"), (4, "", "x")], "ord int, x string, y string")
+    got = {r["ord"]: (r["attention_mask"], [v != -100 for v in r["labels"]]) for r in generate.encode(df, "x", "y", generate.word_ids, 0, 5, keep=("ord",)).collect()}
+    assert got == {3: ([1, 1, 1, 1, 0], [False, False, True, True, False]), 2: ([1, 1, 1, 1, 0], [False, True, True, True, False])}
+
+
+def test_top_and_runner_up(spark):
+    df = spark.createDataFrame([("a", 5.0, 1), ("a", 5.0, 2), ("a", 3.0, 3), ("b", 2.0, 4), ("b", 1.0, 5), ("c", 1.0, 6), ("d", None, 7)], "k string, v double, id int")
+    got = {r["k"]: (r["best_id"], r["best"], r["second"], r["ties"]) for r in metrics.top_with_runner_up(df, "k", "v", "id").collect()}
+    assert got == {"a": (1, 5.0, 5.0, 2), "b": (4, 2.0, 1.0, 1), "c": (6, 1.0, None, 1)}
