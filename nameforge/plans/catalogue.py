@@ -120,19 +120,34 @@ def numeric_constants(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "functions").select("func_id", F.array_join(code.numbers(F.col("code")), " ").alias("numbers"))
 
 
-@query()
+_QUIET = r"""regexp_replace(regexp_replace(regexp_replace(coalesce(code, ''), '"(?:\\.|[^"\\])*"', '""', 'g'), '(?s)/\*.*?\*/', '', 'g'), '//[^\r\n]*', '', 'g')"""
+_COUNTED = "len(list_filter(string_split({0}, chr(10)), lambda l: " + _strip("l") + " NOT IN ('', '{{', '}}')))"
+_CONVENTION_SQL = rf"^(?s)(.*?\b__(?:{'|'.join(code.CONVENTIONS)})\b)"
+
+
+@query(rf"""WITH b AS (SELECT func_id, coalesce(funname, '') AS f, regexp_replace({_QUIET}, '^\s+', '') AS t FROM functions),
+n AS (SELECT *, CASE WHEN f <> '' AND contains(t, f) THEN strpos(t, f) ELSE 0 END AS named FROM b),
+o AS (SELECT *, CASE WHEN named > 0 AND contains(substr(t, named + length(f)), '(') THEN named + length(f) - 1 + strpos(substr(t, named + length(f)), '(') ELSE strpos(t, '(') END AS opened FROM n),
+c AS (SELECT *, CASE WHEN opened > 0 AND contains(substr(t, opened), ')') THEN opened - 1 + strpos(substr(t, opened), ')') ELSE 0 END AS closed FROM o),
+h AS (SELECT *, {_strip("substr(t, opened + 1, closed - opened - 1)")} AS inside, CASE WHEN named > 0 THEN substr(t, 1, named - 1) WHEN regexp_matches(substr(t, 1, opened - 1), '{_CONVENTION_SQL}') THEN regexp_extract(substr(t, 1, opened - 1), '{_CONVENTION_SQL}', 1) ELSE regexp_replace(substr(t, 1, opened - 1), '[A-Za-z_$?][A-Za-z0-9_$?@]*\s*$', '') END AS kind FROM c)
+SELECT func_id, CAST(CASE WHEN closed = 0 OR lower(inside) IN ('', 'void') THEN 0 ELSE len(string_split(inside, ',')) END AS INTEGER) AS arg_count, CASE WHEN closed = 0 THEN '' ELSE lower(regexp_replace({_strip("kind")}, '\s+', ' ', 'g')) END AS return_type,
+  CAST(CASE WHEN contains(substr(t, closed + 1), '{{') THEN {_COUNTED.format("substr(substr(t, closed + 1), strpos(substr(t, closed + 1), '{') + 1)")} ELSE 0 END AS INTEGER) AS loc, CAST({_COUNTED.format("t")} AS INTEGER) AS full_loc FROM h""")
 def code_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Structural features; the SQL follows headers without nested brackets and comments within one line, the tests cover the rest."""
     return spread(table(spark, folder, "functions").select("func_id", "code", "funname")).select("func_id", code.features("code", "funname").alias("index")).select("func_id", "index.*")
 
 
-@query()
+@query(rf"""SELECT func_id, array_to_string(list_transform(list_filter(list_transform(CASE WHEN p IN ('', 'void') THEN [] ELSE string_split(p, ',') END, lambda x: {_strip('x')}), lambda x: x NOT IN ('', '...')),
+  lambda x: CASE WHEN regexp_matches(x, '[*\s]') AND regexp_matches(x, '(?:^|[*\s])[A-Za-z_]\w*\s*(?:\[\s*\])?$') THEN regexp_extract(x, '(?:^|[*\s])([A-Za-z_]\w*)\s*(?:\[\s*\])?$', 1) ELSE 'null' END), ',') AS parameters
+FROM (SELECT func_id, {_strip("regexp_extract(split_part(coalesce(code, ''), '{', 1), '(?s)@(([^()]*)@)', 1)".replace("@", chr(92)))} AS p FROM functions)""")
 def header_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    """Parameter names; the SQL follows headers without nested parentheses, the tests cover the rest."""
     return table(spark, folder, "functions").select("func_id", F.array_join(code.parameters("code"), ",", "null").alias("parameters"))
 
 
-@query()
+@query(rf"""SELECT func_id, array_to_string({_distinct('c')}, chr(10)) AS calls FROM (SELECT func_id, list_transform(CASE WHEN funname <> '' THEN regexp_extract_all(coalesce(code, ''), '(?:^|[^A-Za-z0-9_.>])(' || regexp_escape(funname) || '[^(]*@([^()]*@))', 1) ELSE [] END, lambda x: {_strip('x')}) AS c FROM functions)""".replace("@", chr(92)))
 def own_calls(spark: SparkSession, folder: str) -> DataFrame:
-    """Calls of each function in its own text (recursion and declaration)."""
+    """Calls of each function in its own text (recursion and declaration); the SQL follows calls without nested parentheses, the tests cover the rest."""
     return table(spark, folder, "functions").select("func_id", F.array_join(code.calls("funname", F.array("code")), "\n").alias("calls"))
 
 
