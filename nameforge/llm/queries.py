@@ -151,8 +151,7 @@ marked AS (
 grouped AS (SELECT *, min(func_id) OVER (PARTITION BY table_name, text, pairs) AS first_id, count(*) OVER (PARTITION BY table_name, text, pairs) AS copies FROM marked)
 """
 
-SQL = {
-    "p5_found": r"""
+_TIED_SQL = r"""
 WITH RECURSIVE keyed AS (
   SELECT rec_id, nullif(translate(lower(trim(proj, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), '_ ', '--'), '') AS p,
          nullif(translate(lower(trim(regexp_extract(bin, '([^/\\]*)$', 1), chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), '_ ', '--'), '') AS b
@@ -161,9 +160,23 @@ links AS (
   SELECT DISTINCT x.rec_id AS a, y.rec_id AS b FROM keyed x JOIN (SELECT p, min(rec_id) AS rec_id FROM keyed GROUP BY p) y ON x.p = y.p
   UNION SELECT DISTINCT x.rec_id, y.rec_id FROM keyed x JOIN (SELECT b, min(rec_id) AS rec_id FROM keyed GROUP BY b) y ON x.b = y.b),
 sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (SELECT a AS rec_id, a AS spot FROM sym UNION SELECT r.rec_id, s.b FROM reach r JOIN sym s ON r.spot = s.a)
-SELECT first_id, rec_id FROM (SELECT rec_id, min(spot) AS first_id FROM reach GROUP BY rec_id) WHERE first_id <> rec_id
-""",
+reach AS (SELECT a AS rec_id, a AS spot FROM sym UNION SELECT r.rec_id, s.b FROM reach r JOIN sym s ON r.spot = s.a)"""
+
+_SPLIT_SQL = f"""{_TIED_SQL},
+found AS (SELECT rec_id, min(spot) AS first_id FROM reach GROUP BY rec_id),
+tied AS (SELECT d.rec_id, coalesce(f.first_id, d.rec_id) AS first_id FROM domain_records d LEFT JOIN found f ON d.rec_id = f.rec_id),
+groups AS (SELECT first_id, count(*) AS size FROM tied GROUP BY first_id),
+line AS (SELECT first_id, (sum(size) OVER (ORDER BY size DESC, md5(CAST(first_id AS VARCHAR)), first_id) - size / 2) / sum(size) OVER () AS place FROM groups),
+bounds AS (SELECT split_name, sum(target_share) OVER w / sum(target_share) OVER () AS bound, row_number() OVER w AS k, count(*) OVER () AS n FROM split_targets WINDOW w AS (ORDER BY target_share DESC, split_name)),
+placed AS (SELECT first_id, arg_min(split_name, k) AS split_name FROM line JOIN bounds ON place < bound OR k = n GROUP BY first_id)
+"""
+
+SQL = {
+    "p5_found": f"{_TIED_SQL} SELECT first_id, rec_id FROM (SELECT rec_id, min(spot) AS first_id FROM reach GROUP BY rec_id) WHERE first_id <> rec_id",
+    "p5_split": f"{_SPLIT_SQL} SELECT rec_id, split_name FROM tied JOIN placed USING (first_id)",
+    "p5_shares": f"""{_SPLIT_SQL},
+counted AS (SELECT split_name, count(*) AS records, count(*) FILTER (rec_id = first_id) AS components FROM tied JOIN placed USING (first_id) GROUP BY split_name)
+SELECT split_name, target_share, coalesce(records, 0) AS records, coalesce(components, 0) AS components, coalesce(records / sum(records) OVER (), 0.0) AS actual_share FROM split_targets LEFT JOIN counted USING (split_name)""",
     "p6_found": f"WITH {_LAYOUT_SQL} SELECT table_name, first_id, func_id AS copy_id FROM grouped WHERE func_id <> first_id",
     "p6_collapsed": f"WITH {_LAYOUT_SQL} SELECT table_name, first_id, copies FROM grouped WHERE func_id = first_id",
 }

@@ -100,10 +100,10 @@ def components(df: DataFrame, id_col: str, keys: list[Column]) -> DataFrame:
     return out
 
 
-def assign(groups: DataFrame, targets: list[tuple[str, float]], pieces: int = 64) -> DataFrame:
+def assign(groups: DataFrame, targets: list[tuple[str, float]], digits: int = 2) -> DataFrame:
     """(first_id, split): components (first_id, size) over splits with target shares of the total size.
 
-    All components line up by size, largest first, and are cut where their cumulative
+    All components line up by size, largest first, then by digest, and are cut where their cumulative
     weight reaches the shares, that of the largest share first; a component stands at
     the middle of its weight. So the cuts fall among small components, and the shares
     are met to about the size of one, unless a single component is larger than the
@@ -113,8 +113,8 @@ def assign(groups: DataFrame, targets: list[tuple[str, float]], pieces: int = 64
     if not targets:
         raise ValueError("no split to assign to")
     scale = sum(w for _, w in targets) or 1
-    # The running weight in two steps: over (size, hash piece), then inside each of them.
-    line = groups.withColumn("h", F.xxhash64(F.lit(5), "first_id")).withColumn("piece", F.pmod("h", F.lit(pieces)))
+    # The running weight in two steps: over (size, first digits of the digest), then inside each of them.
+    line = groups.withColumn("h", F.md5(F.col("first_id").cast("string"))).withColumn("piece", F.substring("h", 1, digits))
     order = Window.orderBy(F.desc("size"), "piece")
     sums = line.groupBy("size", "piece").agg(F.sum("size").alias("w")).withColumn("before", F.sum("w").over(order) - F.col("w")).withColumn("all", F.sum("w").over(Window.partitionBy()))
     inside = F.row_number().over(Window.partitionBy("size", "piece").orderBy("h", "first_id"))
