@@ -292,3 +292,20 @@ def twins(found: DataFrame) -> DataFrame:
     left = kinds.select(F.col("raw").alias("raw_a"), F.col("id").alias("x"))
     right = kinds.select(F.col("raw").alias("raw_b"), F.col("id").alias("y"))
     return between.join(left, "raw_a").join(right, "raw_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def skeleton_sql(text: str) -> str:
+    """SQL for the test of ``twins``: every look-alike as its Latin letter, wherever it stands, which texts that look the same share."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    one = {chr(c): b for c, b in _PLAIN.items() if b and len(b) == 1}
+    gone = "".join(chr(c) for c, b in _PLAIN.items() if not b)
+    out = f"replace({text}, chr(13) || chr(10), chr(10))"
+    for c, b in _PLAIN.items():
+        if b and len(b) > 1:
+            out = f"replace({out}, {quoted(chr(c))}, {quoted(b)})"
+    out = f"nfc_normalize(translate({out}, {quoted(''.join(one) + gone)}, {quoted(''.join(one.values()))}))"
+    like = CYRILLIC | GREEK
+    return f"nfc_normalize(translate({out}, {quoted(''.join(like))}, {quoted(''.join(like.values()))}))"

@@ -181,6 +181,9 @@ SELECT split_name, target_share, coalesce(records, 0) AS records, coalesce(compo
     "p6_collapsed": f"WITH {_LAYOUT_SQL} SELECT table_name, first_id, copies FROM grouped WHERE func_id = first_id",
 }
 
+SQL["p9_found"] = f"""WITH s AS (SELECT doc_id, text, {lookalike.skeleton_sql('text')} AS form FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
