@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,8 +14,10 @@ from pyspark.sql import functions as F
 
 from nameforge.session import checkpoint
 
-#: Items of a shard (all islands of a shard pack the same items); islands a shard; individuals an island; generations an epoch; epochs.
-SHARD, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 1000, 3, 4, 2, 3
+#: Items of a shard (all islands of a shard pack the same items); islands a shard; individuals an island; generations without a better packing that end an island's epoch.
+SHARD, ISLANDS, POPULATION, PATIENCE = 1000, 3, 4, 10
+#: Fitness that differs by less is the same.
+EPS = 1e-12
 #: Island states a task evolves.
 PER_TASK = 8
 #: Containers filled less than this go into the last, merged round.
@@ -24,69 +28,86 @@ Bins = list[list[int]]
 
 def best_fit(bins: Bins, room: list[int], items: list[int], size: list[int], capacity: int) -> None:
     """Puts items, largest first, where the least room is left; opens a container where nothing fits."""
-    free = sorted((r, b) for b, r in enumerate(room) if r)
-    for i in sorted(items, key=lambda i: -size[i]):
+    # Room and container in one whole number, as those compare faster than pairs.
+    free = sorted(r << 32 | b for b, r in enumerate(room) if r)
+    for i in sorted(items, key=size.__getitem__, reverse=True):
         s = size[i]
-        k = bisect_left(free, (s, -1))
+        k = bisect_left(free, s << 32)
         if k < len(free):
-            r, b = free.pop(k)
+            x = free.pop(k)
+            r, b = x >> 32, x & 0xFFFFFFFF
         elif s == 0 and bins:
             r, b = 0, 0
         else:
             bins.append([])
             room.append(capacity)
             r, b = capacity, len(bins) - 1
-        bins[b].append(i)
+        bins[b] = [*bins[b], i]  # containers may be shared with other packings
         room[b] = r - s
         if r > s:
-            insort(free, (r - s, b))
+            insort(free, r - s << 32 | b)
+
+
+def _square(fill: list[int], capacity: int) -> float:
+    return sum(map(mul, fill, fill)) / capacity**2 / max(1, len(fill))
 
 
 def fitness(bins: Bins, size: list[int], capacity: int) -> float:
     """Mean square of the fill: prefers few containers, and full ones."""
-    return sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
+    return _square([sum(size[i] for i in b) for b in bins], capacity)
+
+
+def ideal(size: list[int], capacity: int) -> float:
+    """The fitness that no packing passes: the least number of containers, all full but one."""
+    full, rest = divmod(sum(size), capacity)
+    return (full + (rest / capacity) ** 2) / max(1, full + (rest > 0))
 
 
-def cross(a: Bins, b: Bins, size: list[int], capacity: int, rng: random.Random) -> Bins:
-    """A child of a: whole well-filled containers of b come in, containers of a with the same items go, what they held besides is fitted in again."""
-    fill = [sum(size[i] for i in x) for x in b]
-    order = sorted(range(len(b)), key=lambda k: -fill[k])
+def cross(a: Bins, fill_a: list[int], b: Bins, fill_b: list[int], size: list[int], capacity: int, rng: random.Random) -> tuple[Bins, list[int]]:
+    """A child of a, and what its containers hold: whole well-filled containers of b come in, containers of a with the same items go, what they held besides is fitted in again."""
+    order = sorted(range(len(b)), key=fill_b.__getitem__, reverse=True)
     good = order[: max(1, len(order) // 2)]
-    gift = [b[k] for k in good if rng.random() < 0.5] or [b[good[0]]]
-    taken = {i for x in gift for i in x}
-    kept, loose = [], []
-    for x in a:
+    come = [k for k in good if rng.random() < 0.5] or [good[0]]
+    taken = set().union(*(b[k] for k in come))
+    stay, loose = [], []
+    for k, x in enumerate(a):
         if taken.isdisjoint(x):
-            kept.append(list(x))
+            stay.append(k)
         else:
             loose += [i for i in x if i not in taken]
     # Mutation: the emptiest of the kept containers are dissolved too.
-    kept.sort(key=lambda x: sum(size[i] for i in x))
-    for _ in range(min(len(kept), rng.randint(1, 3))):
-        loose += kept.pop(0)
-    child = [list(x) for x in gift] + kept
-    room = [capacity - sum(size[i] for i in x) for x in child]
+    stay.sort(key=fill_a.__getitem__)
+    gone = min(len(stay), rng.randint(1, 3))
+    for k in stay[:gone]:
+        loose += a[k]
+    child = [b[k] for k in come] + [a[k] for k in stay[gone:]]
+    room = [capacity - fill_b[k] for k in come] + [capacity - fill_a[k] for k in stay[gone:]]
     best_fit(child, room, loose, size, capacity)
-    return child
+    return child, [capacity - r for r in room]
 
 
-def evolve(population: list[Bins], size: list[int], capacity: int, generations: int, rng: random.Random) -> list[Bins]:
-    """The population after so many generations, best first; the worst makes room for each child that is better."""
-    ranked = sorted(((fitness(p, size, capacity), k, p) for k, p in enumerate(population)), key=lambda x: (-x[0], x[1]))
-    least = -(-sum(size) // capacity)
+def evolve(population: list[Bins], size: list[int], capacity: int, patience: int, rng: random.Random) -> list[Bins]:
+    """The population, best first, once no packing can be better or so many generations brought no better one; the worst makes room for each child that is better."""
+    ranked = []
+    for k, p in enumerate(population):
+        fill = [sum(size[i] for i in b) for b in p]
+        ranked.append((_square(fill, capacity), k, p, fill))
+    ranked.sort(key=lambda x: (-x[0], x[1]))
+    best = ideal(size, capacity) - EPS
     serial = len(ranked)
-    for _ in range(generations):
-        if len(ranked[0][2]) <= least and ranked[0][0] > 0.999:
-            break
+    stalled = 0
+    while stalled < patience and ranked[0][0] < best:
+        before = ranked[0][0]
         for _ in range(len(ranked)):
             x, y = rng.sample(range(len(ranked)), 2) if len(ranked) > 1 else (0, 0)
-            child = cross(ranked[min(x, y)][2], ranked[max(x, y)][2], size, capacity, rng)
-            f = fitness(child, size, capacity)
+            child, fill = cross(*ranked[min(x, y)][2:], *ranked[max(x, y)][2:], size, capacity, rng)
+            f = _square(fill, capacity)
             if f > ranked[-1][0]:
-                ranked[-1] = (f, serial, child)
+                ranked[-1] = (f, serial, child, fill)
                 ranked.sort(key=lambda z: (-z[0], z[1]))
             serial += 1
-    return [p for _, _, p in ranked]
+        stalled = 0 if ranked[0][0] > before + EPS else stalled + 1
+    return [x[2] for x in ranked]
 
 
 def start(size: list[int], capacity: int, count: int, rng: random.Random) -> list[Bins]:
@@ -102,7 +123,7 @@ def start(size: list[int], capacity: int, count: int, rng: random.Random) -> lis
     return out
 
 
-_STATE = "shard long, island int, ids array<long>, parts array<int>, sizes array<int>, population array<array<int>>, fit double"
+_STATE = "shard long, island int, ids array<long>, parts array<int>, sizes array<int>, population array<array<int>>, fit double, open boolean, was double"
 
 
 def _labels(bins: Bins, n: int) -> list[int]:
@@ -120,7 +141,7 @@ def _bins(labels: list[int]) -> Bins:
     return [b for b in out if b]
 
 
-def _epoch(state: DataFrame, capacity: int, population: int, generations: int, epoch: int, seed: int) -> DataFrame:
+def _epoch(state: DataFrame, capacity: int, population: int, patience: int, epoch: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
@@ -129,51 +150,57 @@ def _epoch(state: DataFrame, capacity: int, population: int, generations: int, e
                 size = r["sizes"]
                 # Only the first epoch starts anew; later ones go on with what the island has, immigrants included.
                 come = [_bins(x) for x in r["population"]] or start(size, capacity, population, rng)
-                grown = evolve(come, size, capacity, generations, rng)[:population]
+                grown = evolve(come, size, capacity, patience, rng)[:population]
                 r["population"] = [_labels(p, len(size)) for p in grown]
                 r["fit"] = fitness(grown[0], size, capacity)
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("population", pa.list_(pa.list_(pa.int32()))), ("fit", pa.float64())]))
+                r["open"] = r["fit"] < ideal(size, capacity) - EPS
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("population", pa.list_(pa.list_(pa.int32()))), ("fit", pa.float64()), ("open", pa.bool_()), ("was", pa.float64())]))
 
     return state.mapInArrow(run, _STATE)
 
 
-def _round(items: DataFrame, n: int, capacity: int, shard: int, islands: int, population: int, generations: int, epochs: int, seed: int) -> DataFrame:
+def _round(items: DataFrame, n: int, capacity: int, shard: int, islands: int, population: int, patience: int, seed: int) -> DataFrame:
     """(shard, bin, id, part, size): the best packing of every shard."""
     shards = max(1, -(-n // shard))
     # Shards are hash groups of about ``shard`` items, whatever the keys are like.
     grouped = items.groupBy(F.pmod(F.xxhash64(F.lit(seed), "id", "part"), F.lit(shards)).alias("shard")).agg(F.array_sort(F.collect_list(F.struct("id", "part", "size"))).alias("x"))
-    state = grouped.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("x.id").alias("ids"), F.col("x.part").alias("parts"), F.col("x.size").alias("sizes"), F.array().cast("array<array<int>>").alias("population"), F.lit(0.0).alias("fit"))
-    # The states are small but costly: their number decides on the tasks, not their bytes.
-    tasks = max(1, -(-shards * islands // PER_TASK))
-    state = state.repartition(tasks, "shard", "island")
-    for epoch in range(epochs):
-        state = checkpoint(_epoch(state, capacity, population, generations, epoch, seed))
-        if epoch + 1 < epochs:
-            # The best of an island goes to the next one in the ring, whose worst makes room for it.
-            moved = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.slice("population", 1, 1).alias("come"))
-            held = F.slice("population", 1, max(1, population - 1))
-            state = state.join(moved, ["shard", "island"]).select("shard", "island", "ids", "parts", "sizes", F.concat(held, "come").alias("population"), "fit").repartition(tasks, "shard", "island")
-
-    top = state.groupBy("shard").agg(F.max_by("island", F.struct("fit", -F.col("island"))).alias("island"))
-    won = state.join(top, ["shard", "island"], "left_semi")
-    rows = won.select("shard", F.explode(F.arrays_zip(F.element_at("population", 1).alias("bin"), F.col("ids").alias("id"), F.col("parts").alias("part"), F.col("sizes").alias("size"))).alias("x"))
-    return rows.select("shard", "x.bin", "x.id", "x.part", "x.size")
-
-
-def pack(sized: DataFrame, id_col: str, size_col: str, capacity: int = 2048, shard: int = SHARD, islands: int = ISLANDS, population: int = POPULATION, generations: int = GENERATIONS, epochs: int = EPOCHS, seed: int = 11) -> DataFrame:
+    state = grouped.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("x.id").alias("ids"), F.col("x.part").alias("parts"), F.col("x.size").alias("sizes"), F.array().cast("array<array<int>>").alias("population"), F.lit(0.0).alias("fit"), F.lit(True).alias("open"), F.lit(-1.0).alias("was"))
+    parts = []
+    epoch = 0
+    while shards:
+        # The states are small but costly: their number decides on the tasks, not their bytes.
+        state = checkpoint(_epoch(state.repartition(max(1, -(-shards * islands // PER_TASK)), "shard", "island"), capacity, population, patience, epoch, seed))
+        tops = state.groupBy("shard").agg(F.max_by("island", F.struct("fit", -F.col("island"))).alias("island"), F.max("fit").alias("top"), F.max("was").alias("was"), F.bool_and("open").alias("open"))
+        # A shard goes on until no packing can be better, or an epoch of all its islands brought none.
+        live = F.col("open") & (F.col("top") > F.col("was") + EPS)
+        won = state.join(tops.where(~live), ["shard", "island"], "left_semi")
+        rows = won.select("shard", F.explode(F.arrays_zip(F.element_at("population", 1).alias("bin"), F.col("ids").alias("id"), F.col("parts").alias("part"), F.col("sizes").alias("size"))).alias("x"))
+        parts.append(rows.select("shard", "x.bin", "x.id", "x.part", "x.size"))
+        going = tops.where(live).select("shard", F.col("top").alias("was"))
+        shards = going.count()
+        # The best of an island goes to the next one in the ring, whose worst makes room for it.
+        moved = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.slice("population", 1, 1).alias("come"))
+        held = F.slice("population", 1, max(1, population - 1))
+        state = state.drop("was").join(going, "shard").join(moved, ["shard", "island"]).select("shard", "island", "ids", "parts", "sizes", F.concat(held, "come").alias("population"), "fit", "open", "was")
+        epoch += 1
+    return reduce(DataFrame.unionByName, parts)
+
+
+def pack(sized: DataFrame, id_col: str, size_col: str, capacity: int = 2048, shard: int = SHARD, islands: int = ISLANDS, population: int = POPULATION, patience: int = PATIENCE, seed: int = 11) -> DataFrame:
     """(container, id, part, first, size): every item in a container of ``capacity``.
 
     An item larger than the capacity is cut into full containers and a rest; no
     other item is split. Sizes are whole numbers; null ids or sizes are left out,
     an item of size 0 goes into any container. ids must be unique. Shards of items
-    are evolved on islands with elite migration; then the containers that are not
-    nearly full are dissolved over all shards and their items packed once more.
+    are evolved on islands with elite migration until no packing can be better or none
+    comes any more; then the containers that are not nearly full are dissolved over all
+    shards and their items packed once more.
     """
     base = checkpoint(sized.where(F.col(size_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.greatest(F.lit(0), F.col(size_col)).cast("long").alias("n")))
     full = F.floor(F.col("n") / capacity)
     whole = base.where(full > 0).select("id", F.posexplode(F.sequence(F.lit(1), full)).alias("part", "_k")).select("id", "part", F.lit(capacity).alias("size"))
     items = checkpoint(base.where((F.col("n") % capacity > 0) | (F.col("n") == 0)).select("id", full.cast("int").alias("part"), (F.col("n") % capacity).cast("int").alias("size")))
-    args = (capacity, shard, islands, population, generations, epochs)
+    args = (capacity, shard, islands, population, patience)
     first = checkpoint(_round(items, items.count(), *args, seed))
     fill = first.groupBy("shard", "bin").agg(F.sum("size").alias("fill"))
     kept = first.join(fill.where(F.col("fill") >= KEEP * capacity), ["shard", "bin"], "left_semi")

@@ -241,6 +241,25 @@ def test_genetic_steps_keep_every_item():
     assert packing.fitness(grown[0], size, 100) >= before
 
 
+def test_evolution_goes_on_until_nothing_better_comes(monkeypatch):
+    calls = []
+    cross = packing.cross
+    monkeypatch.setattr(packing, "cross", lambda *x: calls.append(1) or cross(*x))
+    rng = random.Random(3)
+    size = [rng.randrange(20, 900) for _ in range(600)]
+    population = packing.start(size, 2048, 4, rng)
+    grown = packing.evolve(population, size, 2048, 2, rng)
+    # Two generations of four children are not all: two in a row must bring nothing.
+    assert len(calls) > 2 * 4 and len(calls) % 4 == 0
+    least = packing.ideal(size, 2048)
+    assert packing.fitness(population[0], size, 2048) < packing.fitness(grown[0], size, 2048) <= least + packing.EPS
+    assert sorted(i for b in grown[0] for i in b) == list(range(600)) and all(sum(size[i] for i in b) <= 2048 for b in grown[0])
+    # Nothing is tried where no packing can be better.
+    calls.clear()
+    packing.evolve(packing.start([1024] * 9, 2048, 4, rng), [1024] * 9, 2048, 2, rng)
+    assert not calls and packing.ideal([1024] * 9, 2048) == (4 + 0.25) / 5
+
+
 def test_packing(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([rng.randrange(1, 300), rng.randrange(1, 2500)])) for i in range(500)] + [(1000, 0), (1001, None), (1002, 4096), (1003, 2048), (None, 5)]
