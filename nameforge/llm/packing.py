@@ -28,24 +28,32 @@ Bins = list[list[int]]
 
 def best_fit(bins: Bins, room: list[int], items: list[int], size: list[int], capacity: int) -> None:
     """Puts items, largest first, where the least room is left; opens a container where nothing fits."""
-    # Room and container in one whole number, as those compare faster than pairs.
-    free = sorted(r << 32 | b for b, r in enumerate(room) if r)
+    # Room and container in one whole number, as those compare faster than pairs, and small ones faster still.
+    shift = (len(bins) + len(items)).bit_length()
+    mask = (1 << shift) - 1
+    free = sorted(r << shift | b for b, r in enumerate(room) if r)
+    own = set()  # containers may be shared with other packings
     for i in sorted(items, key=size.__getitem__, reverse=True):
         s = size[i]
-        k = bisect_left(free, s << 32)
+        k = bisect_left(free, s << shift)
         if k < len(free):
             x = free.pop(k)
-            r, b = x >> 32, x & 0xFFFFFFFF
+            r, b = x >> shift, x & mask
         elif s == 0 and bins:
             r, b = 0, 0
         else:
+            r, b = capacity, len(bins)
             bins.append([])
             room.append(capacity)
-            r, b = capacity, len(bins) - 1
-        bins[b] = [*bins[b], i]  # containers may be shared with other packings
+            own.add(b)
+        if b in own:
+            bins[b].append(i)
+        else:
+            bins[b] = [*bins[b], i]
+            own.add(b)
         room[b] = r - s
         if r > s:
-            insort(free, r - s << 32 | b)
+            insort(free, r - s << shift | b)
 
 
 def _square(fill: list[int], capacity: int) -> float:
@@ -63,51 +71,74 @@ def ideal(size: list[int], capacity: int) -> float:
     return (full + (rest / capacity) ** 2) / max(1, full + (rest > 0))
 
 
-def cross(a: Bins, fill_a: list[int], b: Bins, fill_b: list[int], size: list[int], capacity: int, rng: random.Random) -> tuple[Bins, list[int]]:
-    """A child of a, and what its containers hold: whole well-filled containers of b come in, containers of a with the same items go, what they held besides is fitted in again."""
-    order = sorted(range(len(b)), key=fill_b.__getitem__, reverse=True)
-    good = order[: max(1, len(order) // 2)]
-    come = [k for k in good if rng.random() < 0.5] or [good[0]]
-    taken = set().union(*(b[k] for k in come))
-    stay, loose = [], []
-    for k, x in enumerate(a):
-        if taken.isdisjoint(x):
-            stay.append(k)
+class Packing:
+    """A packing with what its children need: the room left in each container, the container of each item, the better filled half of the containers, and all of them from the emptiest on."""
+
+    __slots__ = ("bins", "room", "where", "good", "rising", "fit")
+
+    def __init__(self, bins: Bins, room: list[int], n: int, capacity: int) -> None:
+        self.bins, self.room, self.where = bins, room, _labels(bins, n)
+        order = range(len(bins))
+        self.good = sorted(order, key=room.__getitem__)[: max(1, len(bins) // 2)]
+        self.rising = sorted(order, key=room.__getitem__, reverse=True)
+        self.fit = _square([capacity - r for r in room], capacity)
+
+
+def _fitted(room: list[int], sizes: list[int], capacity: int) -> float:
+    """The fitness that ``best_fit`` comes to, by sizes alone: which item goes into which container is left open."""
+    n = len(room)
+    free = sorted(r for r in room if r)
+    for s in sorted(sizes, reverse=True):
+        k = bisect_left(free, s)
+        if k < len(free):
+            r = free.pop(k)
+        elif s == 0 and n:
+            continue
         else:
-            loose += [i for i in x if i not in taken]
+            n += 1
+            r = capacity
+        if r > s:
+            insort(free, r - s)
+    fill = [capacity - r for r in free]
+    return ((n - len(free)) * capacity**2 + sum(map(mul, fill, fill))) / capacity**2 / max(1, n)
+
+
+def cross(a: Packing, b: Packing, size: list[int], capacity: int, least: float, rng: random.Random) -> Packing | None:
+    """A child of a, if it is fitter than ``least``: whole well-filled containers of b come in, containers of a with the same items go, what they held besides is fitted in again."""
+    come = [k for k in b.good if rng.random() < 0.5] or [b.good[0]]
+    taken = set().union(*(b.bins[k] for k in come))
+    gone = {a.where[i] for i in taken}
+    stay = [k for k in a.rising if k not in gone]
+    loose = [i for k in sorted(gone) for i in a.bins[k] if i not in taken]
     # Mutation: the emptiest of the kept containers are dissolved too.
-    stay.sort(key=fill_a.__getitem__)
-    gone = min(len(stay), rng.randint(1, 3))
-    for k in stay[:gone]:
-        loose += a[k]
-    child = [b[k] for k in come] + [a[k] for k in stay[gone:]]
-    room = [capacity - fill_b[k] for k in come] + [capacity - fill_a[k] for k in stay[gone:]]
+    cut = min(len(stay), rng.randint(1, 3))
+    for k in stay[:cut]:
+        loose += a.bins[k]
+    room = [b.room[k] for k in come] + [a.room[k] for k in stay[cut:]]
+    # Most children are no better; their containers need not be made.
+    if _fitted(room, [size[i] for i in loose], capacity) <= least:
+        return None
+    child = [b.bins[k] for k in come] + [a.bins[k] for k in stay[cut:]]
     best_fit(child, room, loose, size, capacity)
-    return child, [capacity - r for r in room]
+    return Packing(child, room, len(size), capacity)
 
 
 def evolve(population: list[Bins], size: list[int], capacity: int, patience: int, rng: random.Random) -> list[Bins]:
     """The population, best first, once no packing can be better or so many generations brought no better one; the worst makes room for each child that is better."""
-    ranked = []
-    for k, p in enumerate(population):
-        fill = [sum(size[i] for i in b) for b in p]
-        ranked.append((_square(fill, capacity), k, p, fill))
-    ranked.sort(key=lambda x: (-x[0], x[1]))
+    ranked = [Packing(p, [capacity - sum(size[i] for i in b) for b in p], len(size), capacity) for p in population]
+    ranked.sort(key=lambda x: -x.fit)
     best = ideal(size, capacity) - EPS
-    serial = len(ranked)
     stalled = 0
-    while stalled < patience and ranked[0][0] < best:
-        before = ranked[0][0]
+    while stalled < patience and ranked[0].fit < best:
+        before = ranked[0].fit
         for _ in range(len(ranked)):
             x, y = rng.sample(range(len(ranked)), 2) if len(ranked) > 1 else (0, 0)
-            child, fill = cross(*ranked[min(x, y)][2:], *ranked[max(x, y)][2:], size, capacity, rng)
-            f = _square(fill, capacity)
-            if f > ranked[-1][0]:
-                ranked[-1] = (f, serial, child, fill)
-                ranked.sort(key=lambda z: (-z[0], z[1]))
-            serial += 1
-        stalled = 0 if ranked[0][0] > before + EPS else stalled + 1
-    return [x[2] for x in ranked]
+            child = cross(ranked[min(x, y)], ranked[max(x, y)], size, capacity, ranked[-1].fit, rng)
+            if child is not None:
+                ranked[-1] = child
+                ranked.sort(key=lambda z: -z.fit)  # of equal ones the older stays in front
+        stalled = 0 if ranked[0].fit > before + EPS else stalled + 1
+    return [x.bins for x in ranked]
 
 
 def start(size: list[int], capacity: int, count: int, rng: random.Random) -> list[Bins]:
@@ -141,20 +172,26 @@ def _bins(labels: list[int]) -> Bins:
     return [b for b in out if b]
 
 
+def _whole(x: pa.ListScalar) -> list[int]:
+    """The numbers of a list; its own ``as_py`` makes an object of each first."""
+    return x.values.to_numpy().tolist()
+
+
 def _epoch(state: DataFrame, capacity: int, population: int, patience: int, epoch: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
-                rng = random.Random(f"{seed} {epoch} {r['shard']} {r['island']}")
-                size = r["sizes"]
+            grown, fit, opened = [], [], []
+            for shard, island, sizes, held in zip(batch["shard"].to_pylist(), batch["island"].to_pylist(), batch["sizes"], batch["population"]):
+                rng = random.Random(f"{seed} {epoch} {shard} {island}")
+                size = _whole(sizes)
                 # Only the first epoch starts anew; later ones go on with what the island has, immigrants included.
-                come = [_bins(x) for x in r["population"]] or start(size, capacity, population, rng)
-                grown = evolve(come, size, capacity, patience, rng)[:population]
-                r["population"] = [_labels(p, len(size)) for p in grown]
-                r["fit"] = fitness(grown[0], size, capacity)
-                r["open"] = r["fit"] < ideal(size, capacity) - EPS
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("population", pa.list_(pa.list_(pa.int32()))), ("fit", pa.float64()), ("open", pa.bool_()), ("was", pa.float64())]))
+                come = [_bins(_whole(x)) for x in held] or start(size, capacity, population, rng)
+                best = evolve(come, size, capacity, patience, rng)[:population]
+                grown.append([_labels(p, len(size)) for p in best])
+                fit.append(fitness(best[0], size, capacity))
+                opened.append(fit[-1] < ideal(size, capacity) - EPS)
+            new = {"population": pa.array(grown, pa.list_(pa.list_(pa.int32()))), "fit": pa.array(fit, pa.float64()), "open": pa.array(opened, pa.bool_())}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch[c]) for c in batch.schema.names], names=batch.schema.names)
 
     return state.mapInArrow(run, _STATE)
 

@@ -260,6 +260,35 @@ def test_evolution_goes_on_until_nothing_better_comes(monkeypatch):
     assert not calls and packing.ideal([1024] * 9, 2048) == (4 + 0.25) / 5
 
 
+def test_only_children_that_are_better_are_made(monkeypatch):
+    made, children = [], []
+    best_fit, cross = packing.best_fit, packing.cross
+    monkeypatch.setattr(packing, "best_fit", lambda *x: made.append(1) or best_fit(*x))
+    monkeypatch.setattr(packing, "cross", lambda *x: children.append(cross(*x)) or children[-1])
+    rng = random.Random(5)
+    size = [rng.choice([0, rng.randrange(20, 900)]) for _ in range(600)]
+    population = packing.start(size, 2048, 4, rng)
+    made.clear()
+    grown = packing.evolve(population, size, 2048, 3, rng)
+    kept = [x for x in children if x is not None]
+    assert 0 < len(made) == len(kept) < len(children)
+    assert all(x.fit == packing.fitness(x.bins, size, 2048) and sorted(i for b in x.bins for i in b) == list(range(600)) for x in kept)
+    assert packing.fitness(grown[0], size, 2048) == max(x.fit for x in kept)
+
+
+def test_fitness_is_foretold_by_sizes():
+    rng = random.Random(6)
+    for _ in range(500):
+        capacity = rng.choice([1, 7, 100])
+        size = [rng.choice([0, capacity, rng.randint(0, capacity)]) for _ in range(rng.randrange(0, 40))]
+        bins, room = [], []
+        here = rng.randint(0, len(size))
+        packing.best_fit(bins, room, list(range(here)), size, capacity)
+        foretold = packing._fitted(room, size[here:], capacity)
+        packing.best_fit(bins, room, list(range(here, len(size))), size, capacity)
+        assert foretold == packing.fitness(bins, size, capacity)
+
+
 def test_packing(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([rng.randrange(1, 300), rng.randrange(1, 2500)])) for i in range(500)] + [(1000, 0), (1001, None), (1002, 4096), (1003, 2048), (None, 5)]
