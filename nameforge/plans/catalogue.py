@@ -775,7 +775,7 @@ def sft_encode(spark: SparkSession, folder: str) -> DataFrame:
 
 def _encoded(spark: SparkSession, folder: str, most: int) -> DataFrame:
     got = generate.encode(table(spark, folder, "functions"), "code", "output", generate.word_ids, 0, most, cut=True)
-    return got.agg(F.count("*").alias("records"), F.sum(F.size("input_ids")).alias("tokens"), F.sum(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("attended"), F.sum(F.size(F.filter("labels", lambda x: x != -100))).alias("labelled"))
+    return got.agg(F.count("*").alias("records"), F.sum(F.size("input_ids")).alias("tokens"), F.sum(F.size(F.array_remove("attention_mask", 0))).alias("attended"), F.sum(F.size(F.array_remove("labels", -100))).alias("labelled"))
 
 
 @query(SQL["sft_encode"].replace("256", "4096"))

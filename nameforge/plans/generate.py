@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from types import ModuleType
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -143,33 +144,55 @@ def dry_run(df: DataFrame, settings: Settings, ord_col: str = "ord", tokens: Cal
     return counts.select("records", "known", "too_long", "no_label", *calls, F.lit(settings.loops).alias("loops"))
 
 
+#: Numbers in one batch that ``encode`` hands on; what its worker holds doesn't grow with the rows of a task.
+IDS_A_BATCH = 1 << 20
+
+
 def encode(df: DataFrame, text: str, label: str, tokenize: Callable[[], Callable[[str], list[int]]], eos: int, most: int, cut: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(input_ids, attention_mask, labels), each ``most`` long, of prompt and answer with an end mark, and the columns to keep (an order, say).
 
     Labels of the prompt and of the padding are -100. Records without text or label
-    are left out; too long ones are cut or left out.
+    are left out; too long ones are cut or left out. Python only makes the tokens, all
+    that repeats is filled in by native expressions, row by row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = tokenize()
+
+        def made(b: pa.RecordBatch, at: list[int], ids: list[np.ndarray], asked: list[int]) -> pa.RecordBatch:
+            rest = [b.column(2 + k).take(pa.array(at, pa.int64())) for k in range(len(keep))]
+            return pa.RecordBatch.from_arrays([*rest, pa.array(ids, pa.list_(pa.int32())), pa.array(asked, pa.int32())], names=[*keep, "_ids", "_asked"])
+
         for b in batches:
-            rows, at = [], []
-            for k, (x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                a, z = ids_of(x), [*ids_of(y), eos]
+            at, ids, asked, held = [], [], [], 0
+            for k in range(b.num_rows):
+                a, z = ids_of(b.column(0)[k].as_py()), [*ids_of(b.column(1)[k].as_py()), eos]
                 if len(a) + len(z) > most and not cut:
                     continue
-                ids = (a + z)[:most]
-                labels = ([-100] * len(a) + z)[:most]
-                pad = most - len(ids)
                 at.append(k)
-                rows.append((ids + [eos] * pad, [1] * len(ids) + [0] * pad, labels + [-100] * pad))
-            c = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-            rest = [b.column(2 + k).take(pa.array(at, pa.int64())) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(x, pa.list_(pa.int32())) for x in c)], names=[*keep, "input_ids", "attention_mask", "labels"])
+                ids.append(np.array((a + z)[:most], np.int32))
+                asked.append(min(len(a), most))
+                held += len(ids[-1])
+                if held >= IDS_A_BATCH:
+                    yield made(b, at, ids, asked)
+                    at, ids, asked, held = [], [], [], 0
+            if at:
+                yield made(b, at, ids, asked)
+
+    def times(value: int, n: Column) -> Column:
+        return F.array_repeat(F.lit(value).cast("int"), n)
 
     ready = df.where((F.col(text) != "") & (F.col(label) != "")).select(text, label, *keep)
     kinds = dict(df.dtypes)
-    return ready.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "input_ids array<int>, attention_mask array<int>, labels array<int>"]))
+    got = ready.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_ids array<int>, _asked int"]))
+    n, asked = F.size("_ids"), F.col("_asked")
+    pad = F.lit(most) - n
+    return got.select(
+        *keep,
+        F.concat("_ids", times(eos, pad)).alias("input_ids"),
+        F.concat(times(1, n), times(0, pad)).alias("attention_mask"),
+        F.concat(times(-100, asked), F.slice("_ids", asked + 1, n - asked), times(-100, pad)).alias("labels"),
+    )
 
 
 def word_ids() -> Callable[[str], list[int]]:

@@ -4,6 +4,7 @@ import json
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -374,6 +375,43 @@ def test_encoding_keeps_the_order(spark):
     assert got == {3: ([1, 1, 1, 1, 0], [False, False, True, True, False]), 2: ([1, 1, 1, 1, 0], [False, True, True, True, False])}
 
 
+def test_encoding_hands_on_batches_of_bounded_size(spark):
+    class Caught:
+        """A table of which only the Python function of encode is wanted."""
+
+        dtypes = []
+
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+    caught = Caught()
+    generate.encode(caught, "x", "y", generate.word_ids, 0, 4096, cut=True)
+    got = list(caught.run(iter([pa.RecordBatch.from_pydict({"x": ["w " * 1500] * 2000, "y": ["v"] * 2000})])))
+    assert sum(b.num_rows for b in got) == 2000 and max(b.nbytes for b in got) < 5_000_000
+
+
+def test_encoding_against_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(generate, "IDS_A_BATCH", 20)
+    rng, ids_of, most, eos = random.Random(5), generate.word_ids(), 8, 9
+    rows = [(i, " ".join(rng.choices("abcd", k=rng.randrange(12))), " ".join(rng.choices("xyz", k=rng.randrange(4)))) for i in range(300)] + [(300, " \t", " "), (301, None, "x"), (302, "a", None)]
+    df = spark.createDataFrame(rows, "ord int, x string, y string").repartition(2)
+    for cut in (True, False):
+        want = {}
+        for i, x, y in rows:
+            if x and y and (cut or len(x.split()) + len(y.split()) < most):
+                a, z = ids_of(x), [*ids_of(y), eos]
+                ids, pad = (a + z)[:most], max(0, most - len(a) - len(z))
+                want[i] = (ids + [eos] * pad, [1] * len(ids) + [0] * pad, ([-100] * len(a) + z)[:most] + [-100] * pad)
+        got = generate.encode(df, "x", "y", generate.word_ids, eos, most, cut=cut, keep=("ord",)).collect()
+        assert len(got) == len(want) and {r["ord"]: (r["input_ids"], r["attention_mask"], r["labels"]) for r in got} == want
+
+
 def test_top_and_runner_up(spark):
     df = spark.createDataFrame([("a", 5.0, 1), ("a", 5.0, 2), ("a", 3.0, 3), ("b", 2.0, 4), ("b", 1.0, 5), ("c", 1.0, 6), ("d", None, 7)], "k string, v double, id int")
     got = {r["k"]: (r["best_id"], r["best"], r["second"], r["ties"]) for r in metrics.top_with_runner_up(df, "k", "v", "id").collect()}
